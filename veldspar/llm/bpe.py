@@ -124,19 +124,18 @@ class RunTable(dict):
         return ids
 
     def encode(self, text: str) -> bytes:
-        """A text without odd white space is cut before each blank and around each line end; no match of the pattern
-        crosses those places, so the parts can be encoded alone.  Other texts are encoded as one run."""
-        if _FAST.search(text) is None:
-            return b"".join(map(self.__getitem__, text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").split("\x01")))
-        return b"".join(map(self.__getitem__, _parts(text)))
+        return b"".join(map(self.__getitem__, parts(text)))
 
 
-def _parts(text: str) -> list[str]:
-    """text cut before each blank that a visible character follows, where no match of the pattern can cross."""
+def parts(text: str) -> list[str]:
+    """text cut where no match of the pattern can cross: before each blank that a visible character follows, and in
+    texts without odd white space around each line end too.  Some parts may be empty."""
+    if _FAST.search(text) is None:
+        return text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").split("\x01")
     return _CUT.split(text)
 
 
-_CUT = regex.compile(rf"(?= [^{_WS}])", regex.V1)
+_CUT = regex.compile(r"(?= [\p{L}\p{N}\p{P}\p{S}])", regex.V1)
 
 
 class Codec:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, tokenfile
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -28,3 +28,9 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = bpe.encode(docs, path, pattern).select("doc_id", "ids")
     both = bpe.decode(ids, path, pattern)
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@_query
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = tokenfile.store_and_read(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2)
+    return back.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
