@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, tokenfile
+from . import bpe, quality, tokenfile
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -34,3 +34,9 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = tokenfile.store_and_read(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2)
     return back.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+@_query
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.assess(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    return out.select("doc_id", *quality.MEASURES, "base_failed", "kept", F.array_join("failed_rules", ",").alias("failed_rules"))
