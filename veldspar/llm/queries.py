@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, tokenfile
+from . import bpe, minhash, quality, tokenfile
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -40,3 +40,9 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.assess(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
     return out.select("doc_id", *quality.MEASURES, "base_failed", "kept", F.array_join("failed_rules", ",").alias("failed_rules"))
+
+
+@_query
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = minhash.classes(_read(spark, sf_dir, "documents"), width=2, percent=80)
+    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
