@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash, quality, tokenfile
+from . import bpe, minhash, mixing, quality, tokenfile
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -46,3 +46,31 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = minhash.classes(_read(spark, sf_dir, "documents"), width=2, percent=80)
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+@_query
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_read(spark, sf_dir, "documents"))
+
+
+ORACLES["op1_mixing"] = """
+WITH RECURSIVE sized AS (
+    SELECT *, greatest(coalesce(strlen(text), 0), 1)::DOUBLE AS size FROM documents
+), sources AS (
+    SELECT source, sum(size) AS size, pow(sum(size), 0.5) AS weight FROM sized GROUP BY source
+), rates AS (
+    SELECT source, weight / sum(weight) OVER () * sum(size) OVER () / size AS rate FROM sources
+), who AS (
+    SELECT d.*, rate, 'mix-1' || chr(31) || coalesce(doc_id::VARCHAR, '-') || chr(31) || md5(coalesce(text, '')) AS who
+    FROM documents d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source
+), drawn AS (
+    SELECT *, (('0x' || substr(md5(who || chr(31) || '0'), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496 AS u FROM who
+), tables AS (
+    SELECT source, rate, 0 AS k, exp(-rate) AS term, exp(-rate) AS total FROM rates
+    UNION ALL
+    SELECT source, rate, k + 1, term * rate / (k + 1), total + term * rate / (k + 1) FROM tables WHERE k < 200
+), counted AS (
+    SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, (SELECT min(k) FROM tables t WHERE t.source IS NOT DISTINCT FROM d.source AND t.total >= d.u) AS n FROM drawn d
+)
+SELECT doc_id, text, lang, source, n_chars, unnest(range(n))::INTEGER AS copy FROM counted WHERE n > 0
+"""
