@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash, mixing, pii, quality, tokenfile
+from . import bpe, chat, minhash, mixing, pii, quality, tokenfile
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -80,3 +80,8 @@ SELECT doc_id, text, lang, source, n_chars, unnest(range(n))::INTEGER AS copy FR
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.replace(_read(spark, sf_dir, "documents").select("doc_id", "text"), found="kinds")
     return out.select("doc_id", "text", F.size("kinds").cast("long").alias("n_entities"), F.array_join(F.sort_array("kinds"), ",").alias("kinds"))
+
+
+@_query
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link(_read(spark, sf_dir, "conversations"))
