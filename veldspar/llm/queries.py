@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, minhash, mixing, pii, quality, tokenfile
+from . import bpe, chat, html, minhash, mixing, pii, quality, tokenfile
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -85,3 +85,8 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.link(_read(spark, sf_dir, "conversations"))
+
+
+@_query
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
