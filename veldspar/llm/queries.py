@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html, minhash, mixing, pii, quality, tokenfile
+from . import bpe, chat, html, minhash, mixing, pii, quality, tokenfile, vectors
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -90,3 +90,9 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(_read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@_query
+def op7_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = vectors.links(_read(spark, sf_dir, "embeddings"))
+    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
