@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html, minhash, mixing, pii, quality, tokenfile, vectors
+from . import bpe, chat, html, minhash, mixing, pii, quality, substrings, tokenfile, vectors
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -96,3 +96,9 @@ def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = vectors.links(_read(spark, sf_dir, "embeddings"))
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+@_query
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.remove(_read(spark, sf_dir, "documents"), 100)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.coalesce(F.sha2("kept", 256), "whole_sha256").alias("kept_sha256"))
