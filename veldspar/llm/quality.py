@@ -82,6 +82,13 @@ def measures(df: DataFrame, text: str = "text") -> DataFrame:
     ).drop("_w", "_l", "_t", "_p")
 
 
+def _where(df: DataFrame, condition: Column) -> DataFrame:
+    """Rows of df that meet condition, by a filter that stays where it is: a predicate that the optimizer pushes below the
+    measures copies their expressions into itself and takes each of them again for every element.  It doesn't push
+    predicates through a projection with a column that isn't deterministic."""
+    return df.withColumns({"_ok": condition, "_bar": F.rand(0)}).where("_ok AND _bar >= 0").drop("_ok", "_bar")
+
+
 def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
 
@@ -106,7 +113,7 @@ def calibrate(measured: DataFrame, labels: DataFrame, doc_id: str = "doc_id", st
     measured: :func:`measures` of at least the labelled documents.  labels: (doc_id, quality 0 or 1).
     """
     truth = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("_good")).where("_good = 1")
-    good = measured.where(~base_failed()).select(F.col(doc_id).alias("_id"), F.col(stratum).alias("stratum"), *[F.expr(score).alias(f"s_{rule}") for rule, (score, _) in RULES.items()]).join(truth, "_id", "left_semi")
+    good = _where(measured, ~base_failed()).select(F.col(doc_id).alias("_id"), F.col(stratum).alias("stratum"), *[F.expr(score).alias(f"s_{rule}") for rule, (score, _) in RULES.items()]).join(truth, "_id", "left_semi")
     tests = [(rule, c) for rule, (_, grid) in RULES.items() for c in grid]
     counted = good.groupBy("stratum").agg(F.count("*").alias("n_good"), *[F.sum((F.col(f"s_{rule}") > c).cast("long")).alias(f"k_{j}") for j, (rule, c) in enumerate(tests)])
     strata = counted.agg(F.count("*").alias("n_strata"))
@@ -149,4 +156,4 @@ def keep(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     the documents for the cutoffs, so that no text is shuffled."""
     columns = docs.columns
     cutoffs = calibrate(measures(docs.select(doc_id, stratum, text), text), labels, doc_id, stratum)
-    return verdict(measures(docs, text), cutoffs, stratum).where("kept").select(columns)
+    return _where(verdict(measures(docs, text), cutoffs, stratum), F.col("kept")).select(columns)
