@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import release, table
+from ._common import discard, table
 from .minhash import mix
 
 GRAM = 24
@@ -371,7 +371,6 @@ def remove(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", text: str
     whole, and whole_sha256 is of the input."""
     if length < 2 * GRAM:
         raise ValueError(f"length is at least {2 * GRAM}")
-    spark = docs.sparkSession
     full = F.coalesce(F.col(text), F.lit(""))
     digest = F.md5(full.cast("binary"))
     docs = docs.select(F.col(doc_id).cast("long").alias("given"), F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.conv(F.substring(digest, 1, 15), 16, 10).cast("long").alias("text_id"), digest.alias("digest"), full.cast("binary").alias("text"))
@@ -383,9 +382,9 @@ def remove(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", text: str
     firsts = base.join(least, "digest").where("doc_id = first_id").select("doc_id", "text_id").distinct()
     wanted = marks.join(twice, "anchor", "left_semi").groupBy("doc_id", "text_id").agg(F.collect_set("anchor").alias("anchors")).join(firsts, ["doc_id", "text_id"], "left_semi")
     wanted = table(wanted, "wanted")
-    release(spark)
+    discard(marks)
     inputs = table(docs.select("doc_id", "text_id", "text").join(wanted, ["doc_id", "text_id"]).dropDuplicates(["doc_id", "text_id"]), "inputs")
-    release(spark)
+    discard(wanted)
     schema = "anchor long, multi boolean, digest binary, doc_id long, text_id long, start long, n_bytes long, bytes binary"
     regions = table(inputs.mapInArrow(lambda it: _find_regions(it, length), schema), "regions")
     place = F.struct("doc_id", "text_id", "start")
@@ -398,7 +397,7 @@ def remove(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", text: str
     copies = regions.select("doc_id", "text_id", "start", "n_bytes").join(earliest.select("doc_id", "text_id", "start"), ["doc_id", "text_id", "start"], "left_anti")
     spans = copies.select("doc_id", "text_id", "start", (F.col("start") + F.col("n_bytes")).alias("end")).unionByName(found)
     spans = table(spans.groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
-    release(spark)
+    discard(regions, earliest)
     cut = inputs.select("doc_id", "text_id", "text").join(spans, ["doc_id", "text_id"]).mapInArrow(_cut, "doc_id long, text_id long, n_removed long, n_spans long, kept binary")
     rows = base.join(least, "digest").join(cut, ["doc_id", "text_id"], "left")
     copy = (F.col("doc_id") > F.col("first_id")) & (F.col("n_bytes") >= length)
