@@ -40,7 +40,7 @@ def table(df: DataFrame, label: str) -> DataFrame:
     """df written as Parquet to the shared folder and read back: a lineage cut that survives lost executors."""
     spark = df.sparkSession
     path = new_folder(spark, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._scratch = path
     return back

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import discard, table
+from ._common import discard, release, table
 from .minhash import mix
 
 GRAM = 24
@@ -290,7 +290,7 @@ def _find_anchors(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa
 
 
 def _find_regions(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    names = ["anchor", "multi", "digest", "doc_id", "text_id", "start", "n_bytes", "bytes"]
+    names = ["anchor", "multi", "digest", "doc_id", "text_id", "start", "n_bytes"]
     for batch in batches:
         rows, held = [], 0
         for doc, text_id, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
@@ -303,22 +303,39 @@ def _find_regions(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa
             for s, e in zip(*(x[np.isin(least[starts], known)] for x in (starts, ends)), strict=True):
                 piece = raw[s : e + length - 1]
                 twice = int((h[s : e + length - GRAM] == least[s]).sum()) > 1
-                rows.append((int(np.int64(least[s].astype(np.int64))), twice, hashlib.md5(piece).digest(), doc, text_id, int(s), len(piece), piece))
-                held += len(piece)
-            if held > 4_000_000:
+                rows.append((int(np.int64(least[s].astype(np.int64))), twice, hashlib.md5(piece).digest(), doc, text_id, int(s), len(piece)))
+                held += 1
+            if held > 20_000:
                 yield _columns(rows, names)
                 rows, held = [], 0
         if rows:
             yield _columns(rows, names)
 
 
-_KINDS = [pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+_KINDS = [pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
 
 
 def _columns(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)], names=names)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text_id, text, places) to (anchor, doc_id, text_id, start, bytes) of each place."""
+    names, kinds = ["anchor", "doc_id", "text_id", "start", "bytes"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    for batch in batches:
+        rows, held = [], 0
+        for doc, text_id, text, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
+            raw = text.as_buffer()
+            for p in places:
+                rows.append((p["anchor"], doc, text_id, p["start"], bytes(raw[p["start"] : p["start"] + p["n_bytes"]])))
+                held += p["n_bytes"]
+            if held > 4_000_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+
 def _search(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Sorted rows (anchor, doc_id, text_id, start, bytes): spans of repeats.  Whole anchors are gathered up to a shard."""
     held: list[tuple] = []
@@ -385,19 +402,22 @@ def remove(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", text: str
     discard(marks)
     inputs = table(docs.select("doc_id", "text_id", "text").join(wanted, ["doc_id", "text_id"]).dropDuplicates(["doc_id", "text_id"]), "inputs")
     discard(wanted)
-    schema = "anchor long, multi boolean, digest binary, doc_id long, text_id long, start long, n_bytes long, bytes binary"
+    schema = "anchor long, multi boolean, digest binary, doc_id long, text_id long, start long, n_bytes long"
     regions = table(inputs.mapInArrow(lambda it: _find_regions(it, length), schema), "regions")
     place = F.struct("doc_id", "text_id", "start")
-    earliest = table(regions.groupBy("anchor", "digest").agg(F.min(place).alias("at"), F.max("multi").alias("multi"), F.max("n_bytes").alias("n_bytes")).select("anchor", "digest", "multi", "n_bytes", "at.*"), "earliest")
+    earliest = table(regions.groupBy("anchor", "digest").agg(F.min(place).alias("at"), F.max("multi").alias("multi"), F.max("n_bytes").alias("n_bytes")).select("anchor", "multi", "n_bytes", "at.*"), "earliest")
+    release(docs.sparkSession)
     # an anchor with one region that holds it once has no repeat left
     open_ = earliest.groupBy("anchor").agg(F.count("*").alias("n"), F.max("multi").alias("m")).where("n > 1 OR m").select("anchor")
-    sources = earliest.join(open_, "anchor", "left_semi").select("doc_id", "text_id", "start")
-    shards = regions.select("anchor", "doc_id", "text_id", "start", "bytes").join(sources, ["doc_id", "text_id", "start"], "left_semi").select("anchor", "doc_id", "text_id", "start", "bytes")
+    places = earliest.join(open_, "anchor", "left_semi").groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("anchor", "start", "n_bytes")).alias("places"))
+    shards = inputs.select("doc_id", "text_id", "text").join(places, ["doc_id", "text_id"]).mapInArrow(_slices, "anchor long, doc_id long, text_id long, start long, bytes binary")
     found = shards.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "text_id", "start").mapInArrow(lambda it: _search(it, length), "doc_id long, text_id long, start long, end long")
+    found = table(found, "found")
+    release(docs.sparkSession)
     copies = regions.select("doc_id", "text_id", "start", "n_bytes").join(earliest.select("doc_id", "text_id", "start"), ["doc_id", "text_id", "start"], "left_anti")
     spans = copies.select("doc_id", "text_id", "start", (F.col("start") + F.col("n_bytes")).alias("end")).unionByName(found)
     spans = table(spans.groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
-    discard(regions, earliest)
+    discard(regions, earliest, found)
     cut = inputs.select("doc_id", "text_id", "text").join(spans, ["doc_id", "text_id"]).mapInArrow(_cut, "doc_id long, text_id long, n_removed long, n_spans long, kept binary")
     rows = base.join(least, "digest").join(cut, ["doc_id", "text_id"], "left")
     copy = (F.col("doc_id") > F.col("first_id")) & (F.col("n_bytes") >= length)
