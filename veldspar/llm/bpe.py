@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import base64
 import functools
-import re
 import struct
 from collections.abc import Iterator
 
@@ -31,8 +30,6 @@ TABLE_RUN = 256
 #: Rows go back to the JVM once this many bytes are ready.
 OUT_BYTES = 4_000_000
 
-_FAST = re.compile(r"[\x00-\x09\x0b-\x1f\x7f-\xa0  -     　]|[ \n](?:[ \n]|\Z)|\A[ \n]")
-
 
 def explicit_spaces(pattern: str) -> str:
     """The pattern with \\s and \\S as the explicit White_Space class, inside and outside brackets."""
@@ -127,10 +124,17 @@ class RunTable(dict):
         return b"".join(map(self.__getitem__, parts(text)))
 
 
+def plain_space(text: str) -> bool:
+    """Whether all white space of a text is single blanks and line ends between visible characters (no other separator or
+    control character is printable)."""
+    line = text.replace("\n", " ")
+    return line.isprintable() and "  " not in line and line[:1] != " " and line[-1:] != " "
+
+
 def parts(text: str) -> list[str]:
     """text cut where no match of the pattern can cross: before each blank that a visible character follows, and in
-    texts without odd white space around each line end too.  Some parts may be empty."""
-    if _FAST.search(text) is None:
+    texts with plain white space around each line end too.  Some parts may be empty."""
+    if plain_space(text):
         return text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").split("\x01")
     return _CUT.split(text)
 

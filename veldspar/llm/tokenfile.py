@@ -104,8 +104,10 @@ def pack_block(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> bytes
     word = (start >> np.uint64(5)).astype(np.int64)
     value = codes[ids] << (np.uint64(64) - (start & np.uint64(31)) - size)
     words = np.zeros(int(end[-1] >> np.uint64(5)) + 2, np.uint64)
-    np.add.at(words, word, value >> np.uint64(32))
-    np.add.at(words, word + 1, value & np.uint64(0xFFFFFFFF))
+    heads = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))  # places grow, so codes of a word are neighbours
+    at = word[heads]
+    words[at] = np.add.reduceat(value >> np.uint64(32), heads)
+    words[at + 1] += np.add.reduceat(value & np.uint64(0xFFFFFFFF), heads)
     payload = words.astype(">u4").tobytes()[: (int(end[-1]) + 7) // 8]
     marks = start[::STEP].astype("<u4")
     return struct.pack("<4sIII", b"HUFB", len(ids), len(marks), len(payload)) + marks.tobytes() + payload
@@ -138,21 +140,61 @@ class _Table(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.long: list[str] = []  # runs that don't stay
+        known = self.tokenizer.get_vocab()
+        self.sizes = np.zeros(max(known.values()) + 1, np.int64)
+        for token, i in known.items():
+            self.sizes[i] = len(token)  # a byte-level vocabulary writes each byte as one character
         self[""] = b""
 
     def encode(self, text: str) -> bytes:
         runs = bpe.parts(text)
-        try:
-            return b"".join(map(self.__getitem__, runs))
-        except KeyError:
-            if len(self) > bpe.TABLE_ENTRIES:
-                self.clear()
-                self[""] = b""
-            new = [r for r in dict.fromkeys(runs) if r not in self]
-            long = {}
-            for run, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                (self if len(run) <= bpe.TABLE_RUN else long)[run] = np.array(e.ids, "<u4").tobytes()
-            return b"".join([self[r] if r in self else long[r] for r in runs])
+        found = list(map(self.get, runs))
+        if None in found:
+            gaps = [i for i, x in enumerate(found) if x is None]
+            self.learn({runs[i] for i in gaps})
+            for i in gaps:
+                found[i] = self[runs[i]]
+            for run in self.long:
+                del self[run]
+            self.long.clear()
+        return b"".join(found)
+
+    def learn(self, new: set[str]) -> None:
+        """Encode runs that aren't in the table.  A comma or full stop after a letter is always a match of its own, so
+        such a run needs its word only."""
+        if len(self) > bpe.TABLE_ENTRIES:
+            self.clear()
+            self[""] = b""
+        ends = {r for r in new if r[-1] in ",." and r[-2:-1].isalpha()}
+        words = [r for r in (new - ends) | {r[:-1] for r in ends} | {r[-1] for r in ends} if r not in self]
+        # blank, then visible characters: no match crosses from one such run to the next, so they go as one text
+        joined = [r for r in words if r[0] == " " and r[1:].isprintable() and " " not in r[1:] and len(r) > 1]
+        if self.learn_joined(joined):
+            joined = set(joined)
+            words = [r for r in words if r not in joined]
+        for run, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
+            self[run] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        for run in ends:
+            self[run] = self[run[:-1]] + self[run[-1]]
+        self.long += [r for r in new if len(r) > bpe.TABLE_RUN]
+        self.long += [r[:-1] for r in ends if len(r) > bpe.TABLE_RUN]
+
+    def learn_joined(self, runs: list[str]) -> bool:
+        """Encode runs in one call and part the ids by the bytes of their tokens; False, with nothing learnt, if they don't fit."""
+        if not runs:
+            return False
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(runs)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.cumsum([len(r.encode()) for r in runs])
+        tokens = np.cumsum(self.sizes[ids])
+        at = np.searchsorted(tokens, ends)
+        if not len(tokens) or at[-1] >= len(tokens) or not (tokens[at] == ends).all():
+            return False
+        raw, start = ids.tobytes(), 0
+        for run, end in zip(runs, (4 * (at + 1)).tolist(), strict=True):
+            self[run] = raw[start:end]
+            start = end
+        return True
 
 
 @functools.lru_cache(maxsize=2)
@@ -173,11 +215,26 @@ def encode(df: DataFrame, path: str, end_id: int, doc_id: str = "doc_id", text:
     return rows.mapInArrow(run, "doc_id long, ids binary")
 
 
+def _narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """ids as W16 and 16 bits each where they all fit, else as W32 and 32 bits each: half the bytes to keep and to move."""
+    for batch in batches:
+        out = []
+        for x in batch.column(1):
+            one = np.frombuffer(x.as_buffer(), "<u4")
+            out.append(b"W16" + one.astype("<u2").tobytes() if not len(one) or int(one.max()) < 65536 else b"W32" + one.tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "ids"])
+
+
+def _wide(x: pa.Scalar) -> np.ndarray:
+    raw = x.as_py()
+    return np.frombuffer(raw, "<u2" if raw[:3] == b"W16" else "<u4", offset=3)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(0, np.int64)
     for batch in batches:
         for x in batch.column(0):
-            part = np.bincount(np.frombuffer(x.as_buffer(), "<u4"))
+            part = np.bincount(_wide(x))
             if len(part) > len(total):
                 total = np.concatenate([total, np.zeros(len(part) - len(total), np.int64)])
             total[: len(part)] += part
@@ -195,7 +252,7 @@ def _open(uri: str) -> tuple[fs.FileSystem, str]:
 def write(df: DataFrame, folder: str, path: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> list[tuple[str, int, int]]:
     """Encode the texts of df and write them below ``folder``; returns (file, documents, ids) in order of doc_id."""
     spark = df.sparkSession
-    ids = table(encode(df, path, end_id, doc_id, text), "ids")
+    ids = table(encode(df, path, end_id, doc_id, text).mapInArrow(_narrow, "doc_id long, ids binary"), "ids")
     counts = ids.select("ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # at most one row per id of the vocabulary
     by_id = np.zeros(max([r.id for r in counts], default=0) + 1, np.int64)
     for r in counts:
@@ -231,7 +288,7 @@ def _write_part(batches: Iterator[pa.RecordBatch], folder: str, lengths: np.ndar
 
         for batch in batches:
             for k, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                one = np.frombuffer(x.as_buffer(), "<u4").copy()
+                one = _wide(x).astype(np.uint32)
                 keys.append(k or 0)
                 null.append(k is None)
                 sizes.append(len(one))
