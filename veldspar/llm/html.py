@@ -121,6 +121,20 @@ def _text(stack: list[Node], text: str) -> None:
     stack[-1].children.append(entities.unescape(text) if "&" in text else text)
 
 
+def _block_text(n: Node) -> str:
+    """The text of a block with that of its inline elements, which belong to it: only blocks are template or slot."""
+    out, todo = [], list(reversed(n.children))
+    while todo:
+        c = todo.pop()
+        if c.__class__ is str:
+            out.append(c)
+        elif c.tag not in _BLOCK:
+            todo.extend(reversed(c.children))
+        else:
+            out.append(" ")
+    return " ".join("".join(out).split())
+
+
 def _finish(root: Node) -> None:
     """Sizes, structure signatures, own texts and preorder numbers."""
     order, todo = [], [root]
@@ -130,8 +144,7 @@ def _finish(root: Node) -> None:
         order.append(n)
         n.elements = [c for c in n.children if c.__class__ is Node]
         todo.extend(reversed(n.elements))
-        own = [c for c in n.children if c.__class__ is str]
-        n.text = " ".join("".join(own).split()) if own else ""
+        n.text = "" if n.tag not in _BLOCK else _block_text(n) if n.elements else " ".join("".join(n.children).split())
     for n in reversed(order):
         n.size = 1 + sum(c.size for c in n.elements)
         n.sig = hash((n.label, *[c.sig for c in n.elements]))
@@ -215,7 +228,7 @@ def _regions(root: Node) -> list[Node]:
 
 
 def text_of(root: Node, template: set[int] | frozenset[int] = frozenset()) -> str:
-    """The text of the slots; template: numbers of nodes of this tree whose own text is left out."""
+    """The text of the slots; template: numbers of blocks of this tree whose text is left out."""
     out: list[str] = []
     for region in _regions(root):
         inside = region.tag != "#root"
@@ -230,7 +243,7 @@ def text_of(root: Node, template: set[int] | frozenset[int] = frozenset()) -> st
             if n.tag in _BLOCK:
                 out.append(" ")
                 todo.append(" ")
-            todo.extend(c for c in reversed(n.children) if not (c.__class__ is str and n.number in template))
+            todo.extend(reversed(n.children) if n.number not in template else [c for c in reversed(n.elements) if c.tag in _BLOCK])
     return " ".join("".join(out).split())
 
 
