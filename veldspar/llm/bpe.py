@@ -23,8 +23,8 @@ from pyspark.sql import types as T
 
 #: Unicode White_Space, spelled out because libraries differ on U+001C to U+001F.
 _WS = r"\x09-\x0d\x20\x85\xa0  -     　"
-#: Entries of a worker's table before it starts afresh (about 150 MB at most).
-TABLE_ENTRIES = 600_000
+#: Entries of a worker's table before it starts afresh (about 60 MB at most).
+TABLE_ENTRIES = 240_000
 #: Runs longer than this many characters are not kept in the table.
 TABLE_RUN = 256
 #: Rows go back to the JVM once this many bytes are ready.
