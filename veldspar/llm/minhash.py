@@ -36,7 +36,7 @@ SEED = 0x5EED
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 #: Elements whose ranks advance together.
 BATCH = 1 << 17
-WORDS = 200_000
+WORDS = 400_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
