@@ -195,7 +195,7 @@ def expr_cmp(spark, sf):
     return _exprs(spark, sf, "customer", "c_custkey", _nulls(spark, sf), eq=("boolean", f.a == f.b), ne=("boolean", f.a != f.b), gt=("boolean", f.a > f.b), ge=("boolean", f.a >= f.b), lt=("boolean", f.a < f.b), le=("boolean", f.a <= f.b))
 
 
-@_q(f"{_NULLS} SELECT c_custkey, coalesce(a > 5, FALSE) AND coalesce(b > 1, FALSE) AS conj, coalesce(a > 5, FALSE) OR coalesce(b <> 0, FALSE) AS either, NOT coalesce(a > 5, FALSE) AS neither, coalesce(length(s) > 0, FALSE) AND coalesce(a <> 0, FALSE) AS truthy FROM n")
+@_q(f"{_NULLS} SELECT c_custkey, coalesce(a > 5, FALSE) AND coalesce(b > 1, FALSE) AS conj, coalesce(a > 5, FALSE) OR coalesce(b <> 0, FALSE) AS either, NOT coalesce(a > 5, FALSE) AS neither, coalesce(length(s) > 0, FALSE) AND coalesce(length(a::VARCHAR) > 0, FALSE) AS truthy FROM n")
 def expr_bool_2vl(spark, sf):
     return _exprs(spark, sf, "customer", "c_custkey", _nulls(spark, sf), conj=("boolean", (f.a > 5) & (f.b > 1)), either=("boolean", (f.a > 5) | f.b), neither=("boolean", ~(f.a > 5)), truthy=("boolean", f.s & f.a))
 
