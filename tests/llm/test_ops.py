@@ -179,6 +179,15 @@ def test_pii(spark):
     assert pii.replace(numbers).select("text").distinct().count() == 3000
 
 
+def test_pii_first_names(spark):
+    """More first names under one title and surname than the list holds, in each script."""
+    rows = [f"Mr {x}{c} Smith" for x in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for c in ("ob", "im", "ed")] + [f"Г-жа {x}ата Иванова" for x in "АБВГДЕЖЗИКЛМНОПРСТУФ"] + [f"{t} {x} Smith" for t, g in (("Mrs", "f"), ("Mr", "m")) for x in pii._FIRST["latin", g]]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    out = [r.text for r in sorted(pii.replace(df).collect())]
+    assert len(set(out)) == len(rows) and not set(out) & set(rows)
+    assert len({t.split(" ")[-1] for t in out}) == 2 and all(re.fullmatch(pii._NAME.replace(r"(?<![\p{L}])", "").replace(r"\p{Lu}\p{L}", r"[^\W\d_]\w"), t) for t in out)
+
+
 PAGE = '<html><head><title>{t}</title><script>var a="</p>";</script></head><body><nav><a href="/">Home</a></nav><div class="x">Fixed tagline</div><div>{t}</div><p>One &amp; {t}<p>two{t}  <b>th</b>ree<br>four<div class="ad">Buy</div><footer>&copy;</footer>'
 
 

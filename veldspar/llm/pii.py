@@ -20,6 +20,8 @@ through; output columns that clash with them raise ValueError.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -181,22 +183,40 @@ def _ipv6(key: Column, e: Column) -> Column:
     return F.concat(F.lit("2001:db8"), *[F.concat(F.lit(":"), F.substring(h, 1 + 4 * i, 4)) for i in range(6)])
 
 
-def _name(key: Column, e: Column) -> Column:
-    """The title, then first names by gender and script, then a surname of syllables."""
+def _turned(key: str, names: list[str]) -> list[str]:
+    """What each name of a list becomes: the next one in a keyed order, so distinct names stay distinct and none stays itself."""
+    order = sorted(names, key=lambda x: hashlib.sha256(f"{key}\x1ffirst\x1f{x}".encode()).digest())
+    after = dict(zip(order, order[1:] + order[:1], strict=True))
+    return [after[x] for x in names]
+
+
+def _name(secret: str, e: Column) -> Column:
+    """The title, then first names by gender and script, then a surname of syllables.
+
+    A listed first name becomes another one of its list, any other a list entry with syllables after it, from a space too large for clashes."""
+    key = F.lit(secret)
     title = F.regexp_extract(e, r"^\S+ ", 0)
     words = F.split(F.regexp_replace(e, r"^\S+ ", ""), " ")
     script = F.when(F.element_at(words, -1).rlike(r"^\p{IsCyrillic}"), "cyrillic").when(F.element_at(words, -1).rlike(r"^\p{IsGreek}"), "greek").otherwise("latin")
     woman = title.rlike(r"^(?:Mrs|Ms|Miss|Mme|Mlle|Frau|Sra|Señora|Г-жа|Κα)\b|^(?:Г-жа|Κα)")
 
     def pick(s: str, w: Column) -> Column:
-        at = _number(_hash(key, F.lit("first"), F.lower(w)), 1, 8) % 16
-        by = lambda g: F.get(F.array(*[F.lit(x) for x in _FIRST[s, g]]), at.cast("int"))
+        h = _hash(key, F.lit("first"), F.lower(w))
+        listed = lambda names: F.array(*[F.lit(x) for x in names])
+
+        def by(g: str) -> Column:
+            at = F.array_position(listed([x.lower() for x in _FIRST[s, g]]), F.lower(w)).cast("int")
+            stem = F.get(listed(_FIRST[s, g]), (_number(h, 1, 8) % 16).cast("int"))
+            return F.when(at > 0, F.get(listed(_turned(secret, _FIRST[s, g])), at - 1)).otherwise(F.concat(stem, syllables(s, h, 9)))
+
         return F.when(woman, by("f")).otherwise(by("m"))
 
+    def syllables(s: str, h: Column, start: int) -> Column:
+        return F.concat(*[F.get(F.array(*[F.lit(x) for x in _SYLLABLES[s]]), (_number(h, start + 2 * i, 2) % 32).cast("int")) for i in range(10)])
+
     def surname(s: str, w: Column) -> Column:
         h = _hash(key, F.lit("surname"), F.lower(w))
-        parts = [F.get(F.array(*[F.lit(x) for x in _SYLLABLES[s]]), (_number(h, 1 + 2 * i, 2) % 32).cast("int")) for i in range(10)]
-        return F.initcap(F.concat(*parts))
+        return F.initcap(syllables(s, h, 1))
 
     def word(w: Column, i: Column) -> Column:
         out = None
@@ -221,7 +241,7 @@ def surrogate(kind: Column, e: Column, key: str, salt: int) -> Column:
         F.when(kind == "email", _email(k, e)).when(kind == "ipv4", _ipv4(k, e)).when(kind == "ipv6", _ipv6(k, e))
         .when(kind == "card", _fill(e, card)).when(kind == "phone", F.concat(country, _fill(local, _feistel(k, F.regexp_replace(local, r"\D", ""), F.lit("phone")))))
         .when(kind == "ssn", _fill(e, _feistel(k, digits, kind))).when(kind == "iban", _fill(e, _feistel(k, digits, F.concat(kind, F.regexp_replace(e, r"[\d ]", "")))))
-        .when(kind == "name", _name(k, e)).otherwise(_secret(k, e))
+        .when(kind == "name", _name(f"{key}#{salt}", e)).otherwise(_secret(k, e))
     )
 
 
