@@ -28,25 +28,47 @@ from pyspark.sql import functions as F
 KEY = "veldspar-surrogates"
 MAX_SALTS = 20
 
-_EMAIL = r"(?<![\p{L}\p{N}._+\-])[\p{L}\p{N}._+\-]{1,256}+@[\p{L}\p{N}\-]{1,63}+(?:\.[\p{L}\p{N}\-]{1,63}+){1,8}"
+_EMAIL = r"(?<![\p{L}\p{N}._+\-])[\p{L}\p{N}._+\-]{1,256}+@[\p{L}\p{N}\-]{1,63}+(?:\.[\p{L}\p{N}\-]{1,63}+){1,126}"
 _IPV4 = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)"
-_IPV6 = r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"
+_QUAD = r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)"
+#: With "::", a group of four, two groups before it or two after it are needed: slices and scopes of code (1::2, std::c) are no addresses.
+_IPV6 = (
+    rf"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{{1,4}}:){{6}}(?:{_QUAD}|[0-9A-Fa-f]{{1,4}}:[0-9A-Fa-f]{{1,4}}(?![0-9A-Fa-f:]))"
+    rf"|(?<![\p{{L}}\p{{N}}:])(?=[A-Fa-f:]{{0,39}}\d)(?:(?:[0-9A-Fa-f]{{4}}|[0-9A-Fa-f]{{1,4}}:[0-9A-Fa-f]{{1,4}})(?::[0-9A-Fa-f]{{1,4}}){{0,6}}::(?:(?:[0-9A-Fa-f]{{1,4}}:){{0,5}}(?:{_QUAD}|[0-9A-Fa-f]{{1,4}}))?|::(?:[0-9A-Fa-f]{{1,4}}:){{1,6}}(?:{_QUAD}|[0-9A-Fa-f]{{1,4}}))(?![\p{{L}}\p{{N}}:])"
+)
 _CARD = r"(?<![\d])(?:[3-6]\d{3}[ \-]\d{4}[ \-]\d{4}[ \-]\d{4}|3[47]\d{2}[ \-]\d{6}[ \-]\d{5}|[2-6]\d{12,18})(?!\d)"
-_PHONE = r"(?<![\d+])(?:\+\d{1,3}[ .\-]?\(?\d{2,4}\)?[ .\-]?\d{3,4}[ .\-]?\d{3,4}|\(\d{3}\) ?\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?!\d)"
+#: International numbers of eight digits or more in groups of any size, then national ones: of ten digits with or without a 1, and with a leading 0.
+_PHONE = (
+    r"(?<![\d+])(?=[+(\d])(?:\+1[ .\-]?\(?\d{3}\)?[ .\-]?\d{3}[ .\-]?\d{4}|\+(?=(?:[ .\-()]{0,3}\d){8})\d{1,3}[ .\-]?(?:\(0\) ?)?\(?\d{1,4}\)?(?:[ .\-]?\d{2,4}){2,5}"
+    r"|\(\d{3}\) ?\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4}|\d{3} \d{3} \d{4}"
+    r"|(?<![\d.,/\-])(?:0\d(?:[ .\-]\d{2}){4}|(?=(?:[ /\-()]{0,2}\d){9})(?:\(0\d{1,4}\) ?|0\d{1,4}[ /\-])\d{3,8}(?:[ \-]\d{2,5}){0,3}|0[1-9]\d{8,9}(?![.,]\d)))(?!\d)"
+)
 _SSN = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
-_IBAN = r"(?<![A-Z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?![A-Z0-9])"
+#: Countries by the length of their IBANs; of another country or length, the last group has one to four characters and, where short, a digit.
+_IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FO FI GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+}
+_IBAN = (
+    r"(?<![A-Z0-9])(?=[A-Z]{2}\d{2})(?:"
+    + "|".join(rf"(?:{c.replace(' ', '|')})\d{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") + "(?![A-Z0-9])" for n, c in _IBAN_LENGTHS.items())
+    + r"|[A-Z]{2}\d{2}(?:(?: ?[A-Z0-9]{4}){3,7}(?: ?(?=[A-Z]{0,2}\d)[A-Z0-9]{1,3}|[A-Z0-9]{1,3})?|(?: ?[A-Z0-9]{4}){2} ?[A-Z0-9]{3})(?![A-Z0-9]))"
+)
 #: What stands before a secret and stays; no look-behind of many lengths, which would be tried at every place of a text.
 _LABEL = r"(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Kk]ey|KEY|[Pp]assword|PASSWORD|[Pp]asswd|[Pp]wd)[\"']? {0,2}[:=] {0,2}[\"']?|=[\"']?(?=[A-Za-z+/_\-]{0,20}\d[A-Za-z0-9+/_\-]{15})|(?:AKIA|ASIA|sk-|gh[pousr]_|xox[abp]-|AIza)"
 _SECRET = (
-    r"(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Kk]ey|KEY|[Pp]assword|PASSWORD|[Pp]asswd|[Pp]wd)[\"']? {0,2}[:=] {0,2}[\"']?[A-Za-z0-9+/_.\-]{8,512}"
-    r"|(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:sk-|gh[pousr]_|xox[abp]-|AIza)[A-Za-z0-9_\-]{16,512}|(?<![A-Za-z0-9])[0-9a-f]{32,128}+(?![A-Za-z0-9])"
-    r"|=[\"']?(?=[A-Za-z+/_\-]{0,20}\d)[A-Za-z0-9+/_\-]{16,512}"
+    r"(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Kk]ey|KEY|[Pp]assword|PASSWORD|[Pp]asswd|[Pp]wd)[\"']? {0,2}[:=] {0,2}[\"']?[A-Za-z0-9+/_.\-]{8,}+"
+    r"|(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:sk-|gh[pousr]_|xox[abp]-|AIza)[A-Za-z0-9_\-]{16,}+|(?<![A-Za-z0-9])[0-9a-f]{32,}+(?![A-Za-z0-9])"
+    r"|=[\"']?(?=[A-Za-z+/_\-]{0,20}\d)[A-Za-z0-9+/_\-]{16,}+"
 )
 _NAME = r"(?<![\p{L}])(?:Mr|Mrs|Ms|Miss|Mme|Mlle|Herr|Frau|Sr|Sra|Señor|Señora|Г-н|Г-жа|Κος|Κα)\.? \p{Lu}\p{L}{1,40}(?: \p{Lu}\p{L}{1,40}){0,2}"
 PATTERN = "|".join([_EMAIL, _SECRET, _IPV4, _IPV6, _CARD, _SSN, _PHONE, _IBAN, _NAME])
 #: Every entity has one of these characters or is a titled name: texts without any need no search.
 _HINT, _TITLES = "[0-9@=:]", r"(?:Mr|Ms|Miss|Mme|Mlle|Herr|Frau|Sr|Señor|Г-|Κ)"
 
+#: What stays of a phone: the country code or the 0 of a national number.
+_PREFIX = r"^(?:\+\d{1,3}(?=\D)|\(?0)"
+
 _SYLLABLES = {
     "latin": "ba be bi bo da de di do fa fe ga go ka ke ki ko la le li lo ma me mi mo na ne ni no ra re ri ro".split(),
     "cyrillic": "ба бе би бо да де ди до ва ве га го ка ке ки ко ла ле ли ло ма ме ми мо на не ни но ра ре ри ро".split(),
@@ -75,7 +97,7 @@ def _cat(e: Column) -> Column:
     return (
         F.when(e.contains("@"), "email")
         .when(e.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$"), "ipv4")
-        .when(e.rlike(r"^(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}$"), "ipv6")
+        .when(e.rlike(rf"^(?:{_IPV6})$"), "ipv6")
         .when(e.rlike(rf"^(?:{_SSN})$"), "ssn")
         .when(e.rlike(rf"^(?:{_CARD})$"), "card")
         .when(e.rlike(rf"^(?:{_PHONE})$"), "phone")
@@ -88,8 +110,8 @@ def _cat(e: Column) -> Column:
 def _normal(kind: Column, e: Column) -> Column:
     return (
         F.when(kind == "email", F.lower(e))
-        .when(kind == "ipv6", F.lower(e))
-        .when(kind == "phone", F.concat(F.regexp_extract(e, r"^\+\d{1,3}(?=\D)", 0), F.lit("/"), F.regexp_replace(F.regexp_replace(e, r"^\+\d{1,3}(?=\D)", ""), r"\D", "")))
+        .when(kind == "ipv6", _groups(e))
+        .when(kind == "phone", F.concat(F.regexp_replace(F.regexp_extract(e, _PREFIX, 0), r"\(", ""), F.lit("/"), F.regexp_replace(F.regexp_replace(e, _PREFIX, ""), r"\D", "")))
         .when(kind.isin("card", "ssn", "iban"), F.regexp_replace(e, r"[ \-]", ""))
         .when(kind == "name", F.lower(F.regexp_replace(F.regexp_replace(e, r"^\S+ ", ""), " +", " ")))
         .otherwise(_value(e))
@@ -163,23 +185,34 @@ def _secret(key: Column, e: Column) -> Column:
     """Hash characters of the same kinds in the places of the secret; the label or the prefix of a known key format stays."""
     value = _value(e)
     keep = F.length(e) - F.length(value)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.length(e) / 64).cast("int")), lambda i: _hash(key, F.lit("secret"), i.cast("string"), value))
-    stream = F.array_join(blocks, "")
-    hexadecimal = value.rlike(r"^[0-9a-f]+$")
+    # no text as long as the secret is read again for each of its characters or blocks
+    digest = F.array(F.sha2(value, 256))
+    blocks = F.flatten(F.transform(digest, lambda d: F.transform(F.sequence(F.lit(0), F.floor(F.length(value) / 64).cast("int")), lambda i: _hash(key, F.lit("secret"), i.cast("string"), d))))
+    stream = F.substring(F.array_join(blocks, ""), F.lit(1), F.length(value))
 
-    def char(c: Column, i: Column) -> Column:
-        h = F.substring(stream, i - keep + 1, F.lit(1))
+    def char(c: Column, h: Column) -> Column:
         return (
-            F.when(i < keep, c).when(hexadecimal, h)
-            .when(c.rlike("^[0-9]$"), F.translate(h, "abcdef", "037158")).when(c.rlike("^[a-z]$"), F.translate(h, "0123456789", "ghijklmnop"))
+            F.when(c.rlike("^[0-9]$"), F.translate(h, "abcdef", "037158")).when(c.rlike("^[a-z]$"), F.translate(h, "0123456789", "ghijklmnop"))
             .when(c.rlike("^[A-Z]$"), F.upper(F.translate(h, "0123456789", "ghijklmnop"))).otherwise(c)
         )
 
-    return F.array_join(F.transform(F.split(e, ""), char), "")
+    mixed = F.array_join(F.zip_with(F.split(value, ""), F.split(stream, ""), char), "")
+    return F.concat(F.substring(e, F.lit(1), keep), F.when(value.rlike(r"^[0-9a-f]+$"), stream).otherwise(mixed))
+
+
+def _groups(e: Column) -> Column:
+    """An IPv6 address in lower case with all its groups, without leading zeros; the last two may be an IPv4 address."""
+    quad = F.split(F.regexp_extract(e, r"\d+\.\d+\.\d+\.\d+$", 0), r"\.")
+    half = lambda i: F.hex(F.get(quad, F.lit(i)).cast("long") * 256 + F.get(quad, F.lit(i + 1)).cast("long"))
+    flat = F.when(e.contains("."), F.concat(F.regexp_replace(e, r"\d+\.\d+\.\d+\.\d+$", ""), half(0), F.lit(":"), half(2))).otherwise(e)
+    sides = F.split(F.lower(flat), "::")
+    side = lambda i: F.filter(F.split(F.coalesce(F.get(sides, F.lit(i)), F.lit("")), ":"), lambda g: g != "")
+    zeros = F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - F.size(side(0)) - F.size(side(1))))
+    return F.array_join(F.transform(F.concat(side(0), zeros, side(1)), lambda g: F.regexp_replace(g, r"^0+(?=.)", "")), ":")
 
 
 def _ipv6(key: Column, e: Column) -> Column:
-    h = _hash(key, F.lit("ipv6"), F.lower(e))
+    h = _hash(key, F.lit("ipv6"), _groups(e))
     return F.concat(F.lit("2001:db8"), *[F.concat(F.lit(":"), F.substring(h, 1 + 4 * i, 4)) for i in range(6)])
 
 
@@ -231,7 +264,7 @@ def _name(secret: str, e: Column) -> Column:
 def surrogate(kind: Column, e: Column, key: str, salt: int) -> Column:
     k = F.lit(f"{key}#{salt}")
     digits = F.regexp_replace(e, r"\D", "")
-    country = F.regexp_extract(e, r"^\+\d{1,3}(?=\D)", 0)
+    country = F.regexp_extract(e, _PREFIX, 0)
     local = F.substring(e, F.length(country) + 1, F.length(e))
     payload = F.substring(digits, F.lit(1), F.length(digits) - 1)
     moved = F.concat(F.substring(digits, 1, 1), _feistel(k, F.substring(payload, F.lit(2), F.length(payload) - 1), F.concat(F.lit("card"), F.substring(digits, 1, 1))))
