@@ -249,6 +249,29 @@ def test_vectors(spark):
     assert vectors.links(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("way", ["groups", "exact"])
+def test_vectors_across_groups(spark, monkeypatch, way):
+    """Tight groups of more than k vectors that lie within the threshold of each other, groups that lie apart, and lists that are worthless."""
+    rng = np.random.default_rng(9)
+    a, side, far = np.eye(64)[0], np.eye(64)[1], np.eye(64)[2]
+    centres = [a, a + 0.17 * side, far, far + 0.17 * side, -a]
+    x = np.concatenate([c + 0.0005 * rng.standard_normal((40, 64)) for c in centres])
+    x = np.concatenate([x, x[:3]])
+    monkeypatch.setattr(vectors, "BLOCK", 16)
+    monkeypatch.setattr(vectors, "CENTRES", 3)
+    if way == "exact":
+        empty_lists = spark.createDataFrame([], "u long, v long, sim double, new boolean")
+        monkeypatch.setattr(vectors, "search", lambda *args: empty_lists)
+    rows = [(i, 5, v.tolist()) for i, v in enumerate(x)]
+    got = {r.vec_id: r for r in vectors.links(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>"), k=12, max_k=12).collect()}
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    hit = unit @ unit.T >= 0.98
+    np.fill_diagonal(hit, False)
+    assert hit[0, 40:80].all() and not hit[0, 80:200].any()
+    assert [got[i].n_links for i in range(len(x))] == hit.sum(1).tolist()
+    assert {i: r.component_id for i, r in got.items()} == groups([tuple(p) for p in np.argwhere(hit).tolist()], range(len(x)))
+
+
 def test_suffix_arrays():
     rng = random.Random(3)
     for _ in range(60):

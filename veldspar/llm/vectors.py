@@ -8,9 +8,12 @@ null or non-finite components, link with nothing.
    hash.  The ``k`` nearest vectors within the leaves make the first graph.
 3. Refinement: around each vector, its neighbours and the vectors that have it as a neighbour are compared with each other
    where one of them is new to the graph.  Hubs are cut into chunks of bounded size.  Lists keep the k nearest; rounds end when few lists change.
-4. Saturation: a list whose k-th neighbour still reaches the threshold may hide links.  Links found so far connect such vectors into groups, and the lists of a saturated group
-   are enlarged to the whole group: its vectors are compared in pairs of blocks, which return counts of links and not the links.
-5. Audit: a bounded sample of vectors is compared with all vectors of their labels.  With recall below ``recall``, k is doubled and the search goes on.
+4. Saturation: a list whose k-th neighbour still reaches the threshold may hide links, but only to a vector whose list is full too.  Links found so
+   far connect vectors into groups; the vectors of all groups with a full list are put into blocks by group and compared in pairs of blocks of a label, across
+   groups as well, which return counts of links and one forest of links and not the links.  Pairs of blocks that lie too far apart are left out: each block has a
+   centre and an angle that holds its vectors.  Links between groups join them.
+5. Audit: a bounded sample of vectors is compared with all vectors of their labels, and the true number of links with the number found.  With recall
+   below ``recall``, k is doubled and the search goes on; if it is still below at ``max_k``, all vectors of a label are compared in blocks.
 
 Rows with a null vec_id are left out; of rows with one vec_id, the first by label and components counts.  Empty tables give no rows.
 """
@@ -27,6 +30,8 @@ from pyspark.sql import functions as F
 from ._common import components, cut, release, table
 
 LEAF, HUB, BLOCK = 48, 64, 512
+#: Blocks whose centres are compared at once.
+CENTRES = 1024
 AUDIT = 256
 SEED = 20_240_501
 
@@ -124,8 +129,28 @@ def _top(edges: DataFrame, k: int) -> DataFrame:
     return once.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
 
 
+def _forest(hit: np.ndarray) -> list[tuple[int, int]]:
+    """Row and column pairs that connect whatever the marks of a matrix connect."""
+    out, rows_left, cols_left = [], hit.any(axis=1), np.ones(hit.shape[1], bool)
+    for start in np.flatnonzero(rows_left):
+        rows = np.array([start]) if rows_left[start] else np.zeros(0, np.int64)
+        rows_left[start] = False
+        while len(rows):
+            part = hit[rows] & cols_left
+            cols = np.flatnonzero(part.any(axis=0))
+            if not len(cols):
+                break
+            out += zip(rows[part[:, cols].argmax(axis=0)].tolist(), cols.tolist(), strict=True)
+            cols_left[cols] = False
+            part = hit[:, cols] & rows_left[:, None]
+            rows = np.flatnonzero(part.any(axis=1))
+            out += zip(rows.tolist(), cols[part[rows].argmax(axis=1)].tolist(), strict=True)
+            rows_left[rows] = False
+    return out
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Rows (same, ids of a, units of a, ids of b, units of b): counts of links of each id across the two blocks."""
+    """Rows (same, ids of a, units of a, ids of b, units of b): counts of links of each id across the two blocks, and (id, other) of a forest of links."""
     for batch in batches:
         for same, ai, au, bi, bu in zip(*[batch.column(i) for i in range(5)], strict=True):
             a, b = ai.as_py(), bi.as_py()
@@ -136,10 +161,59 @@ def _blocks(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
                 np.fill_diagonal(hit, False)
             # the size of a class counts for its vectors
             wa, wb = np.array([i["n"] for i in a]), np.array([i["n"] for i in b])
-            rows = [(i["id"], int(c)) for i, c in zip(a, hit @ wb, strict=True) if c]
+            rows = [(i["id"], None, int(c)) for i, c in zip(a, hit @ wb, strict=True) if c]
             if return_b:
-                rows += [(i["id"], int(c)) for i, c in zip(b, hit.T @ wa, strict=True) if c]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], names=["id", "links"])
+                rows += [(i["id"], None, int(c)) for i, c in zip(b, hit.T @ wa, strict=True) if c]
+            rows += [(a[i]["id"], b[j]["id"], None) for i, j in _forest(hit)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], names=["id", "other", "links"])
+
+
+def _centres(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, label, dim, units): the centre of each block and the largest angle from it to a vector of the block."""
+    for batch in batches:
+        centres, angles = [], []
+        for units in batch.column(3):
+            x = np.frombuffer(b"".join(units.as_py()), np.float64).reshape(len(units), -1)
+            c = x.sum(axis=0)
+            c = c / norm if (norm := np.sqrt((c * c).sum())) > 1e-9 else x[0]
+            centres.append(c.tobytes())
+            angles.append(float(np.arccos(np.clip(x @ c, -1, 1)).max()))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(centres, pa.binary()), pa.array(angles, pa.float64())], names=["key", "label", "dim", "centre", "angle"])
+
+
+def _near(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Rows (same, blocks of a, blocks of b): pairs of blocks that may hold a link; angles on a sphere obey the triangle inequality."""
+    reach = float(np.arccos(np.clip(threshold, -1, 1))) + 1e-6
+    for batch in batches:
+        for same, a, b in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+            (ka, x, ra), (kb, y, rb) = ((np.array([i["key"] for i in w]), np.frombuffer(b"".join(i["centre"] for i in w), np.float64).reshape(len(w), -1), np.array([i["angle"] for i in w])) for w in (a, b))
+            ok = np.arccos(np.clip(x @ y.T, -1, 1)) <= ra[:, None] + rb[None, :] + reach
+            i, j = np.nonzero(np.triu(ok) if same else ok)
+            yield pa.RecordBatch.from_arrays([pa.array(ka[i], pa.int64()), pa.array(kb[j], pa.int64())], names=["a", "b"])
+
+
+def _dense(members: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """All links among members (group, id, n, label, unit) of a label: (id, links), and edges (a, b) that connect what they connect."""
+    spark = members.sparkSession
+    members = members.withColumn("dim", F.octet_length("unit"))
+    size = members.groupBy("label", "dim", "group").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    blocked = table(
+        members.join(size, ["label", "dim", "group"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).groupBy("label", "dim", "group", "block")
+        .agg(F.sort_array(F.collect_list(F.struct("id", "n", "unit"))).alias("items")), "blocks",  # about BLOCK
+    )
+    parts = blocked.select(F.col("items")[0]["id"].alias("key"), "label", "dim", F.transform("items", lambda i: F.struct(i.id.alias("id"), i.n.alias("n"))).alias("ids"), F.transform("items", lambda i: i.unit).alias("units"))
+    centres = cut(parts.select("key", "label", "dim", "units").mapInArrow(_centres, "key long, label long, dim int, centre binary, angle double"))
+    chunks = centres.groupBy("label", "dim").agg(F.ceil(F.count("*") / CENTRES).alias("chunks"))
+    lists = centres.join(chunks, ["label", "dim"]).withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks"))).groupBy("label", "dim", "chunks", "chunk").agg(F.sort_array(F.collect_list(F.struct("key", "centre", "angle"))).alias("items"))  # about CENTRES
+    lists = table(lists, "centres")
+    pairs = lists.select("label", "dim", "chunk", F.explode(F.sequence(F.col("chunk"), F.col("chunks") - 1)).alias("other"))
+    both = pairs.join(lists.select("label", "dim", "chunk", F.col("items").alias("a")), ["label", "dim", "chunk"]).join(lists.select("label", "dim", F.col("chunk").alias("other"), F.col("items").alias("b")), ["label", "dim", "other"])
+    near = cut(both.select((F.col("chunk") == F.col("other")).alias("same"), "a", "b").mapInArrow(lambda it: _near(it, threshold), "a long, b long"))
+    left = parts.select(F.col("key").alias("a"), F.col("ids").alias("ai"), F.col("units").alias("au"))
+    right = parts.select(F.col("key").alias("b"), F.col("ids").alias("bi"), F.col("units").alias("bu"))
+    tiles = near.join(left, "a").join(right, "b").select((F.col("a") == F.col("b")).alias("same"), "ai", "au", "bi", "bu").repartition(max(8, spark.sparkContext.defaultParallelism * 2))
+    found = table(tiles.mapInArrow(lambda it: _blocks(it, threshold), "id long, other long, links long"), "found")
+    return found.where("links IS NOT NULL").groupBy("id").agg(F.sum("links").alias("links")), found.where("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b"))
 
 
 def search(units: DataFrame, k: int, trees: int, rounds: int, settle: float, graph: DataFrame | None = None) -> DataFrame:
@@ -170,9 +244,8 @@ def search(units: DataFrame, k: int, trees: int, rounds: int, settle: float, gra
     return graph
 
 
-def audit(units: DataFrame, graph: DataFrame, threshold: float, k: int) -> float:
-    """Share of the links of at most AUDIT vectors, chosen by hash, that the lists hold; a full list that still reaches the
-    threshold counts as right where it holds k links, since its group is enlarged later."""
+def audit(units: DataFrame, counts: DataFrame, threshold: float) -> float:
+    """Share of the links of at most AUDIT vectors of units (id, label, n, unit), chosen by hash, that counts (id, links) hold."""
     picked = units.orderBy(F.xxhash64("id", F.lit(SEED))).limit(AUDIT).collect()
     if not picked:
         return 1.0
@@ -183,7 +256,7 @@ def audit(units: DataFrame, graph: DataFrame, threshold: float, k: int) -> float
 
     def run(batches):
         for batch in batches:
-            ids, labels, units_ = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            ids, labels, units_, sizes = (batch.column(i).to_pylist() for i in range(4))
             groups: dict[tuple[int, int], list[int]] = {}
             for i, (label, unit) in enumerate(zip(labels, units_, strict=True)):
                 groups.setdefault((label, len(unit)), []).append(i)
@@ -192,15 +265,32 @@ def audit(units: DataFrame, graph: DataFrame, threshold: float, k: int) -> float
                     q, x = queries[key]
                     y = np.frombuffer(b"".join(units_[i] for i in rows), np.float64).reshape(len(rows), -1)
                     a, b = np.nonzero(x @ y.T >= threshold)
-                    v = np.array([ids[i] for i in rows])[b]
-                    yield _edges(q[a[q[a] != v]], v[q[a] != v], np.zeros(int((q[a] != v).sum())))
+                    v, n = np.array([ids[i] for i in rows])[b], np.array([sizes[i] for i in rows])[b]
+                    other = q[a] != v
+                    yield pa.RecordBatch.from_arrays([pa.array(q[a[other]], pa.int64()), pa.array(n[other], pa.int64())], names=["id", "n"])
 
-    true = units.select("id", "label", "unit").mapInArrow(run, "u long, v long, sim double").groupBy("u").agg(F.count("*").alias("n"))
-    have = graph.where(F.col("sim") >= threshold).groupBy("u").agg(F.count("*").alias("have"))
-    row = true.join(have, "u", "left").agg(F.sum(F.least("n", F.lit(k))), F.sum(F.least(F.coalesce("have", F.lit(0)), "n"))).first()
+    true = units.select("id", "label", "unit", "n").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    row = true.join(counts, "id", "left").agg(F.sum("n"), F.sum(F.least(F.coalesce("links", F.lit(0)), "n"))).first()
     return (row[1] or 0) / row[0] if row[0] else 1.0
 
 
+def _resolve(reps: DataFrame, graph: DataFrame, threshold: float, k: int) -> tuple[DataFrame, DataFrame]:
+    """(id, links) and (id, component_id) from lists of k, with all links among the groups that have a full list."""
+    close = cut(graph.where(F.col("sim") >= threshold).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct())
+    group = components(close)
+    full = graph.where(F.col("sim") >= threshold).groupBy("u").agg(F.count("*").alias("have")).where(F.col("have") >= k).select(F.col("u").alias("id"))
+    saturated = cut(group.join(full, "id", "left_semi").select("component_id").distinct())
+    sizes = reps.select("id", "n")
+    both = close.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(close.select(F.col("b").alias("id"), F.col("a").alias("other")))
+    counts = both.join(sizes.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.sum("n").alias("links"))
+    if saturated.limit(1).count():
+        members = group.join(saturated, "component_id", "left_semi").join(reps, "id").select(F.col("component_id").alias("group"), "id", "n", "label", "unit")
+        dense, edges = _dense(members, threshold)
+        counts = counts.join(members.select("id"), "id", "left_anti").unionByName(dense)
+        group = components(close.unionByName(edges))
+    return cut(counts), group
+
+
 def links(vectors: DataFrame, threshold: float = 0.98, k: int = 12, trees: int = 6, rounds: int = 8, settle: float = 0.001, recall: float = 0.99, max_k: int = 96, vec_id: str = "vec_id", label: str = "label", embedding: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id) for every vec_id."""
     spark = vectors.sparkSession
@@ -211,31 +301,15 @@ def links(vectors: DataFrame, threshold: float = 0.98, k: int = 12, trees: int =
     reps = table(sole.where("class_key IS NOT NULL").groupBy("label", "class_key").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"), F.min("unit").alias("unit")), "reps")
     units = reps.select("id", "label", "unit")
     graph = search(units, k, trees, rounds, settle)
-    while audit(units, graph, threshold, k) < recall and k < max_k:
+    counts, group = _resolve(reps, graph, threshold, k)
+    while audit(reps, counts, threshold) < recall:
+        if k >= max_k:
+            counts, edges = _dense(reps.withColumn("group", F.lit(0)), threshold)
+            group = components(edges)
+            break
         k *= 2
         graph = search(units, k, trees, rounds, settle, cut(graph.withColumn("new", F.lit(True))))
-    close = cut(graph.where(F.col("sim") >= threshold).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct())
-    group = components(close)
-    full = graph.where(F.col("sim") >= threshold).groupBy("u").agg(F.count("*").alias("have")).where(F.col("have") >= k).select(F.col("u").alias("id"))
-    saturated = cut(group.join(full, "id", "left_semi").select("component_id").distinct())
-    sizes = reps.select("id", "n")
-    both = close.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(close.select(F.col("b").alias("id"), F.col("a").alias("other")))
-    counts = both.join(sizes.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.sum("n").alias("links"))
-    if saturated.limit(1).count():
-        members = group.join(saturated, "component_id", "left_semi").join(reps.select("id", "n", "unit"), "id")
-        size = members.groupBy("component_id").agg(F.count("*").alias("members")).withColumn("blocks", F.ceil(F.col("members") / BLOCK))
-        blocked = table(
-            members.join(size, "component_id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).groupBy("component_id", "blocks", "block")
-            .agg(F.sort_array(F.collect_list(F.struct("id", "n", "unit"))).alias("items")), "blocks",  # about BLOCK
-        )
-        parts = blocked.select("component_id", "blocks", "block", F.transform("items", lambda i: F.struct(i.id.alias("id"), i.n.alias("n"))).alias("ids"), F.transform("items", lambda i: i.unit).alias("units"))
-        pairs = parts.select("component_id", "block", "blocks").withColumn("other", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1))).drop("blocks")
-        left = parts.select("component_id", "block", F.col("ids").alias("ai"), F.col("units").alias("au"))
-        right = parts.select("component_id", F.col("block").alias("other"), F.col("ids").alias("bi"), F.col("units").alias("bu"))
-        tiles = pairs.join(left, ["component_id", "block"]).join(right, ["component_id", "other"]).select((F.col("block") == F.col("other")).alias("same"), "ai", "au", "bi", "bu").repartition(max(8, spark.sparkContext.defaultParallelism * 2))
-        dense = tiles.mapInArrow(lambda it: _blocks(it, threshold), "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
-        rest = counts.join(members.select("id"), "id", "left_anti")
-        counts = rest.unionByName(dense)
+        counts, group = _resolve(reps, graph, threshold, k)
     per_class = reps.select("label", "class_key", "id", "n").join(counts, "id", "left").join(group, "id", "left")
     per_class = per_class.select("label", "class_key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
     out = sole.select("vec_id", "label", "class_key").join(per_class, ["label", "class_key"], "left")
