@@ -67,7 +67,6 @@ def test_token_files(spark, docs):
 
     path = P.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     start = 0
     got = sorted(tokenfile.store_and_read(docs, path, 2).collect())
     for r, (i, text, *_) in zip(got, corpus(), strict=True):
@@ -79,6 +78,26 @@ def test_token_files(spark, docs):
     assert [r.doc_id for r in sorted(tokenfile.store_and_read(twice, path, 2).collect(), key=lambda r: r.start)] == [None, 1, 1]
 
 
+def test_token_runs():
+    """Long words with and without stops, special tokens, and tables of a few entries, against the library on whole texts."""
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    library, own = Tokenizer.from_file(path), tokenfile._Table(path)
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdeéжß") for _ in range(n))
+    texts = ["", None, "<|endoftext|>", "a <|endoftext|> b<|endoftext|><|endoftext|>c, <|endoftext|", " ,. a,", "x\u3000 y\t z \n\n w  v "]
+    for n in (254, 255, 256, 257, 300, 301):
+        w = word(n)
+        texts += [f"z {w} {w}, {w}. {w},", f"{w}, {w}", f"z {w}, end <|endoftext|> {w}."]
+    texts += [" ".join(word(rng.randint(1, 9)) + rng.choice(["", "", ",", ".", "!", "'s", " 12", "-"]) for _ in range(200)) for _ in range(20)]
+    want = [np.array(library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert own.encode(texts) == want and own.encode(texts[::-1]) == want[::-1]
+    assert all(len(r) <= bpe.TABLE_RUN for r in own.runs.young)
+    own.runs.entries = 40
+    assert [own.encode([t])[0] for t in texts * 2] == want * 2
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 300, 70_000])
 def test_huffman_blocks(n):
     ids = (np.random.default_rng(n).zipf(1.2, n) % 5000).astype(np.uint32)
@@ -261,7 +280,7 @@ def test_vectors_across_groups(spark, monkeypatch, way):
     monkeypatch.setattr(vectors, "CENTRES", 3)
     if way == "exact":
         empty_lists = spark.createDataFrame([], "u long, v long, sim double, new boolean")
-        monkeypatch.setattr(vectors, "search", lambda *args: empty_lists)
+        monkeypatch.setattr(vectors, "search", lambda *args, **how: empty_lists)
     rows = [(i, 5, v.tolist()) for i, v in enumerate(x)]
     got = {r.vec_id: r for r in vectors.links(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>"), k=12, max_k=12).collect()}
     unit = x / np.linalg.norm(x, axis=1)[:, None]

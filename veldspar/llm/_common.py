@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,23 +19,42 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where it is unset on a local master."""
+    """The shared folder of ``spark.checkpoint.dir``, qualified by Hadoop's default file system; a temporary one only where it
+    is unset on a local master."""
     sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        root = sc.getCheckpointDir()
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
         if not sc.master.startswith("local[") and sc.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="veldspar-")
+    if not sc.getCheckpointDir():
         sc.setCheckpointDir(root)
-    elif not sc.getCheckpointDir():
-        sc.setCheckpointDir(root)
-    return root if "://" in root else "file://" + root if root.startswith("/") else root
+    path = sc._jvm.org.apache.hadoop.fs.Path(root)
+    whole = path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return whole.replace("file:/", "file:///", 1) if whole.startswith("file:/") and not whole.startswith("file://") else whole
+
+
+_used: set[str] = set()
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A new name below this application's part of the shared folder, which is deleted when the driver ends."""
+    own = f"{scratch_root(spark).rstrip('/')}/veldspar-{spark.sparkContext.applicationId}"
+    if own not in _used:
+        if not _used:
+            atexit.register(_clear)
+        _used.add(own)
+    return f"{own}/{label}-{uuid.uuid4().hex}"
+
+
+def _clear() -> None:
+    """At the end of the driver, when Spark may be gone already."""
+    for own in _used:
+        try:
+            store, at = fs.FileSystem.from_uri(own)
+            store.delete_dir(at)
+        except (OSError, ValueError, pa.ArrowException):  # nothing was written there, or the store is gone
+            continue
 
 
 def table(df: DataFrame, label: str) -> DataFrame:
@@ -67,6 +88,17 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def quoted(name: str) -> str:
+    """A column name that may hold dots or backticks, for F.col."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def unused(names: list[str], stem: str = "_v") -> str:
+    """A prefix with which no name begins, so that helper columns never clash with columns of the input."""
+    low = [n.lower() for n in names]
+    while any(n.startswith(stem) for n in low):
+        stem += "v"
+    return stem
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +126,7 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([find(x) for x in part], pa.int64())], names=["v", "u"])
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(id, component_id) for every node of ``edges`` (two long columns): component_id is the smallest id reachable.
 
     Each round contracts every partition by union-find, then applies the large-star and small-star steps of Kiveris
@@ -104,7 +136,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     a, b = edges.columns[:2]
     e = edges.select(F.col(a).cast("long").alias("v"), F.col(b).cast("long").alias("u")).where("v <> u")
     e = cut(e.mapInArrow(_contract, "v long, u long").distinct())
-    for _ in range(max_rounds):
+    while True:
         chains = e.select(F.col("u").alias("x")).join(e.select(F.col("v").alias("x")), "x", "left_semi")
         forks = e.groupBy("v").count().where("count > 1")
         if not chains.limit(1).count() and not forks.limit(1).count():
@@ -118,7 +150,5 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = down.join(low2, down.v == low2.k).select(F.explode(pair).alias("e")).select("e.v", "e.u")
         e = cut(small.where("u <> v").distinct().mapInArrow(_contract, "v long, u long").distinct())
         release(edges.sparkSession)
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = e.select(F.col("u").alias("id")).distinct().select("id", F.col("id").alias("component_id"))
     return e.select(F.col("v").alias("id"), F.col("u").alias("component_id")).unionByName(roots)

@@ -3,7 +3,8 @@
 Each piece of a text (a match of the split pattern) is merged on its own.  A segment tree over the byte positions holds
 the leftmost minimum pair rank; a merge takes the root, joins two live neighbours and updates three leaves, so a piece of
 n bytes takes O(n log n) steps however long it is.  Encoded runs between white space are kept in a bounded table per
-worker, since natural text repeats them; the table changes the speed, never the result.
+worker, since natural text repeats them; texts are encoded a few at a time, so that each new run of them is encoded once.
+The table changes the speed, never the result.
 
 Null and empty texts encode to no ids and decode to no bytes.  Repeated rows are encoded alike.  Columns other than the
 text pass through; an output column that clashes with one of them raises ValueError before any job starts.
@@ -23,12 +24,12 @@ from pyspark.sql import types as T
 
 #: Unicode White_Space, spelled out because libraries differ on U+001C to U+001F.
 _WS = r"\x09-\x0d\x20\x85\xa0  -     　"
-#: Entries of a worker's table before it starts afresh (about 150 MB at most).
-TABLE_ENTRIES = 600_000
+#: Entries of a worker's table (about 150 MB at most), in two halves by age.
+TABLE_ENTRIES = 1_000_000
 #: Runs longer than this many characters are not kept in the table.
 TABLE_RUN = 256
-#: Rows go back to the JVM once this many bytes are ready.
-OUT_BYTES = 4_000_000
+#: Texts are encoded, and ids decoded, together up to about this many characters or bytes.
+IN_BYTES = 2_000_000
 
 
 def explicit_spaces(pattern: str) -> str:
@@ -105,23 +106,37 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
-class RunTable(dict):
-    """run of text -> ids as little-endian unsigned 32-bit integers, filled on demand and bounded."""
-
-    def __init__(self, encode_run):
-        super().__init__()
-        self.encode_run = encode_run
-
-    def __missing__(self, run: str) -> bytes:
-        ids = self.encode_run(run)
-        if len(run) <= TABLE_RUN:
-            if len(self) >= TABLE_ENTRIES:
-                self.clear()
-            self[run] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, parts(text)))
+class RunTable:
+    """run of text -> ids as little-endian unsigned 32-bit integers.  Two generations of at most half of ``entries`` each, and what
+    one batch adds: when the young one is full it becomes the old one, and what is found there moves to the young one again, so runs
+    in use stay.  ``learn`` takes the young generation and runs that it hasn't, and puts them there."""
+
+    def __init__(self, learn, entries: int):
+        self.learn, self.entries = learn, entries
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        cut = [parts(t) if t else [] for t in texts]
+        get = self.young.get
+        found = [list(map(get, runs)) for runs in cut]
+        gaps = [(i, [k for k, x in enumerate(ids) if x is None]) for i, ids in enumerate(found) if None in ids]
+        fresh = {cut[i][k] for i, ks in gaps for k in ks}
+        old = self.old
+        known = [run for run in fresh if run in old] if old else ()
+        self.young.update(zip(known, map(old.__getitem__, known), strict=True))
+        if fresh := fresh.difference(known):
+            self.learn(self.young, fresh)
+        for i, ks in gaps:
+            runs, ids = cut[i], found[i]
+            for k in ks:
+                ids[k] = get(runs[k])
+        if any(len(run) > TABLE_RUN for run in fresh):
+            for run in [r for r in self.young if len(r) > TABLE_RUN]:
+                del self.young[run]
+        if len(self.young) > self.entries // 2:
+            self.old, self.young = self.young, {}
+        return list(map(b"".join, found))
 
 
 def plain_space(text: str) -> bool:
@@ -148,31 +163,39 @@ class Codec:
     def __init__(self, path: str, pattern: str):
         self.ranks = read_ranks(path)
         self.find = regex.compile(explicit_spaces(pattern)).findall
-        self.pieces: dict[str, bytes] = {}
-        self.runs = RunTable(self.encode_run)
+        self.runs = RunTable(self.learn, TABLE_ENTRIES)
         size = max(self.ranks.values()) + 1
         self.tokens: list[bytes | None] = [None] * size
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
 
-    def encode_run(self, run: str) -> bytes:
-        return b"".join([self.encode_piece(p) for p in self.find(run)])
+    def learn(self, young: dict[str, bytes], new: set[str]) -> None:
+        """Encode runs.  A comma or full stop after a letter is a match of its own, so such a run needs its word only."""
+        find, piece = self.find, self.encode_piece
+        for run in new:
+            word = run[:-1]
+            if run[-1:] in (",", ".") and word[-1:].isalpha():
+                ids = young.get(word)
+                if ids is None:
+                    ids = young[word] = b"".join(map(piece, find(word)))
+                young[run] = ids + piece(run[-1])
+            elif run not in young:
+                young[run] = b"".join(map(piece, find(run)))
 
     def encode_piece(self, piece: str) -> bytes:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            raw = piece.encode("utf-8")
-            whole = self.ranks.get(raw)
-            merged = [whole] if whole is not None else merge(raw, self.ranks)
-            ids = struct.pack(f"<{len(merged)}I", *merged)
-            if len(piece) <= TABLE_RUN:
-                if len(self.pieces) >= TABLE_ENTRIES // 2:
-                    self.pieces.clear()
-                self.pieces[piece] = ids
-        return ids
+        raw = piece.encode("utf-8")
+        whole = self.ranks.get(raw)
+        if whole is not None:
+            return whole.to_bytes(4, "little")
+        merged = merge(raw, self.ranks)
+        return struct.pack(f"<{len(merged)}I", *merged)
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text; none for null."""
+        return self.runs.encode(texts)
 
     def encode(self, text: str) -> bytes:
-        return self.runs.encode(text) if text else b""
+        return self.encode_all([text])[0]
 
     def decode(self, ids: bytes) -> bytes:
         tokens = self.tokens
@@ -188,25 +211,26 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def per_row(batches: Iterator[pa.RecordBatch], column: str, out: str, work) -> Iterator[pa.RecordBatch]:
-    """batches with column ``out`` = work(value of ``column``) in small batches, so that memory stays bounded."""
+def in_parts(batches: Iterator[pa.RecordBatch], at: int, work) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of batches with work(values of column ``at``), of about IN_BYTES each, so that memory stays bounded."""
     for batch in batches:
-        at = batch.schema.get_field_index(column)
-        i = done = 0
-        values, held = [], 0
+        values, held, done = [], 0, 0
         for i, x in enumerate(batch.column(at), 1):
-            values.append(y := work(x.as_py()))
-            held += len(y)
-            if held > OUT_BYTES:
-                yield _with(batch, done, i, out, values)
-                values, held, done = [], 0, i
+            values.append(y := x.as_py())
+            if y:
+                held += len(y)
+                if held > IN_BYTES:
+                    yield batch.slice(done, i - done), work(values)
+                    values, held, done = [], 0, i
         if values:
-            yield _with(batch, done, i, out, values)
+            yield batch.slice(done, batch.num_rows - done), work(values)
 
 
-def _with(batch: pa.RecordBatch, start: int, stop: int, out: str, values: list) -> pa.RecordBatch:
-    part = batch.slice(start, stop - start)
-    return pa.RecordBatch.from_arrays([*part.columns, pa.array(values, pa.binary())], names=[*part.schema.names, out])
+def per_row(batches: Iterator[pa.RecordBatch], column: str, out: str, work) -> Iterator[pa.RecordBatch]:
+    """batches with column ``out`` = work(values of ``column``)."""
+    for batch in batches:
+        for part, values in in_parts([batch], batch.schema.get_field_index(column), work):
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(values, pa.binary())], names=[*part.schema.names, out])
 
 
 def _schema(df: DataFrame, out: str) -> T.StructType:
@@ -218,10 +242,10 @@ def _schema(df: DataFrame, out: str) -> T.StructType:
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
     """df with ``out``: the ids of ``text`` as little-endian unsigned 32-bit integers (binary; empty for null)."""
     schema = _schema(df, out)
-    return df.mapInArrow(lambda it: per_row(it, text, out, lambda s: codec(path, pattern).encode(s or "")), schema)
+    return df.mapInArrow(lambda it: per_row(it, text, out, lambda texts: codec(path, pattern).encode_all(texts)), schema)
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """df with ``out``: the bytes of ``ids`` (empty for null).  An id outside the vocabulary fails the task."""
     schema = _schema(df, out)
-    return df.mapInArrow(lambda it: per_row(it, ids, out, lambda b: codec(path, pattern).decode(b or b"")), schema)
+    return df.mapInArrow(lambda it: per_row(it, ids, out, lambda ids: [codec(path, pattern).decode(x or b"") for x in ids]), schema)

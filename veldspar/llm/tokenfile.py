@@ -14,14 +14,16 @@ record with the number of documents, where their table starts, and ``HUFF``.  ``
 :func:`read` decodes all chunks of a block side by side with one table lookup per id.
 
 Null and empty texts hold the end id alone.  Rows with a null doc_id come first; rows with equal doc_id are in order of
-their ids.  An empty table gives a codebook and no documents.  Other columns are not stored.
+a checksum of their ids, then of their ids.  An empty table gives a codebook and no documents.  Other columns are not stored.
 """
 
 from __future__ import annotations
 
 import functools
 import os
+import re
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,13 +34,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
-from ._common import new_folder, table
+from ._common import discard, new_folder, quoted, table
 
 STEP = 256
 BLOCK = 1 << 18
 MAX_BITS = 18
-#: Ids of one file, about.
-FILE_IDS = 4_000_000
+#: Ids of one file, about: the fewer while files are too few for all cores, the more (200 MB or so) beyond.
+FILE_IDS, MAX_FILE_IDS = 4_000_000, 128_000_000
+#: Rows read back go to the JVM once this many bytes are ready.
+OUT_BYTES = 4_000_000
 
 
 # -- codes
@@ -130,70 +134,82 @@ def unpack_block(n: int, marks: np.ndarray, payload: bytes, lookup: tuple[np.nda
 # -- encoding texts
 
 
-class _Table(dict):
-    """run of text -> ids as bytes, from the tokenizers library."""
+#: How a byte-level vocabulary writes each byte that isn't a visible Latin-1 character.
+_BYTES = {b: chr(256 + k) for k, b in enumerate([*range(33), *range(127, 161), 173])}
+#: Entries of a worker's table of runs, some 150 bytes each.
+TABLE_ENTRIES = 2_000_000
+
+
+class _Table:
+    """Texts -> ids as bytes, by the tokenizers library for each new run of text."""
 
     def __init__(self, path: str):
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.long: list[str] = []  # runs that don't stay
+        # for runs of letters, or a blank and letters, which are one match each: written as bytes and cut at white space, instead of by the pattern
+        self.words_only = Tokenizer.from_file(path)
+        self.words_only.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         known = self.tokenizer.get_vocab()
         self.sizes = np.zeros(max(known.values()) + 1, np.int64)
         for token, i in known.items():
             self.sizes[i] = len(token)  # a byte-level vocabulary writes each byte as one character
-        self[""] = b""
-
-    def encode(self, text: str) -> bytes:
-        runs = bpe.parts(text)
-        found = list(map(self.get, runs))
-        if None in found:
-            gaps = [i for i, x in enumerate(found) if x is None]
-            self.learn({runs[i] for i in gaps})
-            for i in gaps:
-                found[i] = self[runs[i]]
-            for run in self.long:
-                del self[run]
-            self.long.clear()
-        return b"".join(found)
-
-    def learn(self, new: set[str]) -> None:
-        """Encode runs that aren't in the table.  A comma or full stop after a letter is always a match of its own, so
-        such a run needs its word only."""
-        if len(self) > bpe.TABLE_ENTRIES:
-            self.clear()
-            self[""] = b""
-        ends = {r for r in new if r[-1] in ",." and r[-2:-1].isalpha()}
-        words = [r for r in (new - ends) | {r[:-1] for r in ends} | {r[-1] for r in ends} if r not in self]
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.ids = {t.content: struct.pack("<I", i) for i, t in added.items()}
+        #: Added tokens count wherever they stand in a text, and part it; those that look at what is around them go to the library with their text.
+        self.plain = not any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values())
+        self.special = re.compile("|".join(re.escape(t) for t in sorted(self.ids, key=len, reverse=True))) if added else None
+        self.runs = bpe.RunTable(self.learn, TABLE_ENTRIES)
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        out = self.runs.encode([None if t and self.special and self.special.search(t) else t for t in texts])
+        for i, t in enumerate(texts):
+            if t and self.special and self.special.search(t):
+                out[i] = self.with_special(t)
+        return out
+
+    def with_special(self, text: str) -> bytes:
+        if not self.plain:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        between = self.runs.encode(self.special.split(text))
+        found = [self.ids[t] for t in self.special.findall(text)]
+        return b"".join([x for pair in zip(between, [*found, b""], strict=True) for x in pair])
+
+    def learn(self, young: dict[str, bytes], new: set[str]) -> None:
+        """Encode runs.  A comma or full stop after a letter is always a match of its own, so such a run needs its word only."""
+        ends = [r for r in new if r[-1:] in (",", ".") and r[-2:-1].isalpha()]
+        words = new.difference(ends)
+        words.update([r[:-1] for r in ends], ",.")
+        words = words.difference(young)
         # blank, then visible characters: no match crosses from one such run to the next, so they go as one text
-        joined = [r for r in words if r[0] == " " and r[1:].isprintable() and " " not in r[1:] and len(r) > 1]
-        if self.learn_joined(joined):
-            joined = set(joined)
-            words = [r for r in words if r not in joined]
-        for run, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self[run] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        letters = [r for r in words if (r[1:] if r[:1] == " " else r).isalpha() and (r.isascii() or max(r) < "\u0500")]
+        others = [r for r in words.difference(letters) if r[:1] == " " and r.rfind(" ") == 0 and r.isprintable() and len(r) > 1]
+        for i in range(0, len(letters), 4096):
+            part = letters[i : i + 4096]
+            if self.learn_joined(young, part, self.words_only, " ".join([r.replace(" ", "\u0120") if r.isascii() else r.encode().decode("latin-1").translate(_BYTES) for r in part])):
+                words.difference_update(part)
+        for i in range(0, len(others), 4096):
+            part = others[i : i + 4096]
+            if self.learn_joined(young, part, self.tokenizer, "".join(part)):
+                words.difference_update(part)
+        alone = list(words)
+        for run, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
+            young[run] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        stops = {c: young[c] for c in ",."}
         for run in ends:
-            self[run] = self[run[:-1]] + self[run[-1]]
-        self.long += [r for r in new if len(r) > bpe.TABLE_RUN]
-        self.long += [r[:-1] for r in ends if len(r) > bpe.TABLE_RUN]
+            young[run] = young[run[:-1]] + stops[run[-1]]
 
-    def learn_joined(self, runs: list[str]) -> bool:
-        """Encode runs in one call and part the ids by the bytes of their tokens; False, with nothing learnt, if they don't fit."""
-        if not runs:
-            return False
-        ids = np.array(self.tokenizer.encode_batch_fast(["".join(runs)], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.cumsum([len(r.encode()) for r in runs])
+    def learn_joined(self, young: dict[str, bytes], runs: list[str], tokenizer, text: str) -> bool:
+        """Encode runs, which make up text, in one call and part the ids by the bytes of their tokens; False, with nothing learnt, if they don't fit."""
+        ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.cumsum([len(r) if r.isascii() else len(r.encode()) for r in runs])
         tokens = np.cumsum(self.sizes[ids])
         at = np.searchsorted(tokens, ends)
         if not len(tokens) or at[-1] >= len(tokens) or not (tokens[at] == ends).all():
             return False
-        raw, start = ids.tobytes(), 0
-        for run, end in zip(runs, (4 * (at + 1)).tolist(), strict=True):
-            self[run] = raw[start:end]
-            start = end
+        raw, to = ids.tobytes(), (4 * (at + 1)).tolist()
+        young.update(zip(runs, map(raw.__getitem__, map(slice, [0, *to], to)), strict=True))
         return True
 
 
@@ -204,40 +220,46 @@ def _tokenizer(path: str) -> _Table:
 
 def encode(df: DataFrame, path: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, ids): ids of each text with ``end_id`` after them, as little-endian unsigned 32-bit integers."""
+    return _encoded(df, path, end_id, doc_id, text, lambda doc_ids, ids: pa.RecordBatch.from_arrays([doc_ids, pa.array(ids, pa.binary())], names=["doc_id", "ids"]), "doc_id long, ids binary")
+
+
+def _encoded(df: DataFrame, path: str, end_id: int, doc_id: str, text: str, shape, schema: str) -> DataFrame:
+    """Texts encoded, and put into batches by shape(doc_ids, list of ids)."""
     end = struct.pack("<I", end_id)
-    work = lambda s: (_tokenizer(path).encode(s) if s else b"") + end
-    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    work = lambda texts: [ids + end for ids in _tokenizer(path).encode(texts)]
+    rows = df.select(F.col(quoted(doc_id)).cast("long").alias("doc_id"), F.col(quoted(text)).alias("text"))
 
     def run(batches):
-        for b in bpe.per_row(batches, "text", "ids", work):
-            yield b.select(["doc_id", "ids"])
+        for doc_ids, ids in bpe.in_parts(batches, 1, work):
+            yield shape(doc_ids.column(0), ids)
 
-    return rows.mapInArrow(run, "doc_id long, ids binary")
+    return rows.mapInArrow(run, schema)
 
 
-def _narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """ids as W16 and 16 bits each where they all fit, else as W32 and 32 bits each: half the bytes to keep and to move."""
-    for batch in batches:
-        out = []
-        for x in batch.column(1):
-            one = np.frombuffer(x.as_buffer(), "<u4")
-            out.append(b"W16" + one.astype("<u2").tobytes() if not len(one) or int(one.max()) < 65536 else b"W32" + one.tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "ids"])
+def _narrow(doc_ids: pa.Array, ids: list[bytes]) -> pa.RecordBatch:
+    """ids as W16 and 16 bits each where they all fit, else as W32 and 32 bits each: half the bytes to keep and to move.  tie orders
+    rows of one doc_id without reading their ids."""
+    out = []
+    for raw in ids:
+        one = np.frombuffer(raw, "<u4")
+        out.append(b"W16" + one.astype("<u2").tobytes() if not len(one) or int(one.max()) < 65536 else b"W32" + raw)
+    return pa.RecordBatch.from_arrays([doc_ids, pa.array([zlib.crc32(x) for x in out], pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "tie", "ids"])
 
 
-def _wide(x: pa.Scalar) -> np.ndarray:
-    raw = x.as_py()
+def _wide(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, "<u2" if raw[:3] == b"W16" else "<u4", offset=3)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(0, np.int64)
     for batch in batches:
-        for x in batch.column(0):
-            part = np.bincount(_wide(x))
-            if len(part) > len(total):
-                total = np.concatenate([total, np.zeros(len(part) - len(total), np.int64)])
-            total[: len(part)] += part
+        held = [_wide(x) for x in batch.column(0).to_pylist()]
+        for some in ([x for x in held if x.itemsize == 2], [x for x in held if x.itemsize == 4]):
+            if some:
+                part = np.bincount(np.concatenate(some))
+                if len(part) > len(total):
+                    total = np.concatenate([total, np.zeros(len(part) - len(total), np.int64)])
+                total[: len(part)] += part
     seen = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["id", "n"])
 
@@ -252,7 +274,7 @@ def _open(uri: str) -> tuple[fs.FileSystem, str]:
 def write(df: DataFrame, folder: str, path: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> list[tuple[str, int, int]]:
     """Encode the texts of df and write them below ``folder``; returns (file, documents, ids) in order of doc_id."""
     spark = df.sparkSession
-    ids = table(encode(df, path, end_id, doc_id, text).mapInArrow(_narrow, "doc_id long, ids binary"), "ids")
+    ids = table(_encoded(df, path, end_id, doc_id, text, _narrow, "doc_id long, tie long, ids binary"), "ids")
     counts = ids.select("ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # at most one row per id of the vocabulary
     by_id = np.zeros(max([r.id for r in counts], default=0) + 1, np.int64)
     for r in counts:
@@ -262,10 +284,12 @@ def write(df: DataFrame, folder: str, path: str, end_id: int, doc_id: str = "doc
     store.create_dir(at, recursive=True)
     with store.open_output_stream(f"{at}/codebook.bin") as f:
         f.write(lengths.tobytes())
-    files = max(1, -(-int(by_id.sum()) // FILE_IDS))
+    total = int(by_id.sum())
+    files = max(1, -(-total // MAX_FILE_IDS), min(-(-total // FILE_IDS), 4 * spark.sparkContext.defaultParallelism))
     shared = spark.sparkContext.broadcast((lengths, canonical(lengths)))  # five and a half bytes an id of the vocabulary at most, whatever the input
-    ordered = ids.repartitionByRange(files, "doc_id", F.xxhash64("ids")).sortWithinPartitions("doc_id", "ids")
+    ordered = ids.repartitionByRange(files, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "ids").select("doc_id", "ids")
     made = ordered.mapInArrow(lambda it: _write_part(it, folder, *shared.value), "part int, docs long, n long").collect()
+    discard(ids)
     return [(f"{folder}/part-{r.part:06d}.huf", r.docs, r.n) for r in sorted(made)]
 
 
@@ -287,15 +311,16 @@ def _write_part(batches: Iterator[pa.RecordBatch], folder: str, lengths: np.ndar
                 held, n_held = [one[whole:]], len(one) - whole
 
         for batch in batches:
-            for k, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                one = _wide(x).astype(np.uint32)
+            for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                one = _wide(x)
                 keys.append(k or 0)
                 null.append(k is None)
                 sizes.append(len(one))
                 held.append(one)
                 n_held += len(one)
                 total += len(one)
-                flush(BLOCK)
+                if n_held >= BLOCK:
+                    flush(BLOCK)
         flush(1)
         where = f.tell()
         f.write(np.array(keys, "<i8").tobytes() + np.array(null, np.uint8).tobytes() + np.array(sizes, "<u8").tobytes())
@@ -333,26 +358,28 @@ def read_file(uri: str, lookup) -> Iterator[tuple[int | None, np.ndarray]]:
 
 def read(spark: SparkSession, folder: str, files: list[tuple[str, int, int]]) -> DataFrame:
     """(doc_id, start, ids) of all documents, from the files: start is the number of ids of all documents before it."""
-    names = [f[0] for f in files]
     starts = [0, *np.cumsum([f[2] for f in files]).tolist()]
+    listed = spark.createDataFrame([(f[0], s) for f, s in zip(files, starts, strict=False)], "name string, start long")
 
     def run(batches):
-        store, at = _open(folder)
-        with store.open_input_stream(f"{at}/codebook.bin") as f:
-            lookup = decode_table(np.frombuffer(f.read(), np.uint8))
+        lookup = None
         for batch in batches:
-            for i in batch.column(0).to_pylist():
-                start, rows, held = starts[i], [], 0
-                for key, ids in read_file(names[i], lookup):
+            for name, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if lookup is None:
+                    store, at = _open(folder)
+                    with store.open_input_stream(f"{at}/codebook.bin") as f:
+                        lookup = decode_table(np.frombuffer(f.read(), np.uint8))
+                rows, held = [], 0
+                for key, ids in read_file(name, lookup):
                     rows.append((key, start, ids.astype("<u4").tobytes()))
                     start += len(ids)
                     held += len(rows[-1][2])
-                    if held > bpe.OUT_BYTES:
+                    if held > OUT_BYTES:
                         yield _rows(rows)
                         rows, held = [], 0
                 yield _rows(rows)
 
-    return spark.range(0, len(files), 1, max(1, len(files))).mapInArrow(run, "doc_id long, start long, ids binary")
+    return listed.repartition(max(1, len(files)), "name").mapInArrow(run, "doc_id long, start long, ids binary")
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
