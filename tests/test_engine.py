@@ -12,7 +12,7 @@ from pyspark.sql import functions as SF
 from pyspark.sql import types as T
 
 from veldspar import (
-    BooleanField, Cardinality, ChoiceField, ChoiceOption, Ctx, DateField, DecimalField, Default, EmailField, Entity, EnumField, ExactLength, F, FieldEvaluation, FieldGroup, FieldValidation, FloatField,
+    ApplyError, BooleanField, Cardinality, ChoiceField, ChoiceOption, Ctx, DateField, DecimalField, Default, EmailField, Entity, EnumField, ExactLength, F, FieldEvaluation, FieldGroup, FieldValidation, FloatField,
     IdField, IntegerField, ItemsValidation, Just, KeyFields, LoadError, M, MaxLength, PositiveIntegerField, RangeLength, Readonly, Required, Settings, SetupError, SetupNameError, SetupTypeError,
     SizedStringField, StringField, SubEntity, SubEntityItems, This, Unique, parse,
 )
@@ -255,3 +255,53 @@ def test_partial_apply_and_groups(spark):
     df = spark.createDataFrame([(1, "x")], "a long, b string")
     assert [x.key_string for x in e.apply(df, only="b").df.first()._errors] == ["e::b"] and e.apply(df, only="b").df.first().a == 1
     assert e.apply(df, only="g").df.first()._ok
+
+
+def test_keys_are_checked(spark):
+    """A key twice on either side, or a stored row without key, fails; a new row without key is added."""
+    e = Entity("e", contains=[IdField("id"), StringField("s")], keys=KeyFields("id"))
+    make = lambda *data: spark.createDataFrame(list(data), "id long, s string")
+    old, new = make((1, "a"), (2, "b")), make((2, "c"), (None, "d"), (None, "d"))
+    assert sorted((r.s, r._op or "") for r in e.apply(old, new).df.collect()) == [("a", ""), ("c", "UPDATE"), ("d", "ADDED"), ("d", "ADDED")]
+    assert sorted((r.id or 0, r.change_op) for r in diff(old, new, ("id",)).collect()) == [(0, "ADDED"), (0, "ADDED"), (1, "DELETE"), (2, "UPDATE")]
+    for a, b, text in [(make((1, "a"), (1, "b")), new, "twice"), (old, make((2, "c"), (2, "d")), "twice"), (make((None, "a")), new, "no key")]:
+        for run in (lambda: e.apply(a, b).df.collect(), lambda: diff(a, b, ("id",)).collect()):
+            with pytest.raises(Exception, match=text):
+                run()
+    plan = e.apply(old, new).df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2  # the check of the keys uses the join's own shuffles
+
+
+def test_items_by_key(spark):
+    rng = random.Random(2)
+    items = SubEntityItems("xs", contains=[IdField("a"), StringField("b"), IntegerField("q")], keys=KeyFields("a", "b"))
+    e = Entity("e", contains=[IdField("id"), items], keys=KeyFields("id"))
+    schema = "id long, xs array<struct<a:long,b:string,q:long>>"
+    keys = [(a, b) for a in range(4) for b in "xyz"]
+    olds = [[(*k, 1) for k in rng.sample(keys, rng.randint(0, 8))] for _ in range(60)]
+    news = [[(*k, rng.randint(1, 2)) for k in rng.sample(keys, rng.randint(0, 8))] + [(None, "x", 5)] * rng.randint(0, 2) for _ in range(60)]
+    rows_ = lambda xs: spark.createDataFrame(list(enumerate(xs)), schema)
+    frame = e.apply(rows_(olds), rows_(news))
+    for r in frame.df.collect():
+        old, new = {x[:2]: x for x in olds[r.id]}, {x[:2]: x for x in news[r.id] if x[0] is not None}
+        want = [new.get(k, x) for k, x in old.items()] + [x for x in news[r.id] if x[:2] not in old]
+        assert [tuple(x) for x in r.xs] == want
+    for a, b, text in [([[(1, "x", 1), (1, "x", 2)]], [[]], "twice"), ([[]], [[(1, "x", 1), (1, "x", 1)]], "twice"), ([[(None, "x", 1)]], [[]], "without key")]:
+        with pytest.raises(Exception, match=text):
+            e.apply(rows_(a), rows_(b)).df.collect()
+
+
+def test_parent_and_history(spark):
+    e = Entity("e", contains=[
+        IntegerField("a", cleaners=[FieldEvaluation(This.Value + 1), FieldValidation(F.a.Parent.b > 3, name="up")]), IntegerField("b", cleaners=[Default(4)]),
+        SubEntity("s", contains=[IntegerField("c", cleaners=[FieldValidation(F.c.Parent.Parent.a == 2, name="two")])]),
+    ], keys=KeyFields("a"))
+    df = spark.createDataFrame([(1, 3, (5,)), (2, None, None)], "a long, b long, s struct<c:long>")
+    out = e.apply(df, settings=Settings(trace=True))
+    assert sorted((r.a, r.validation_name) for r in out.errors.collect()) == [(2, "up")]
+    got = sorted((r.a, r.key_string, r.step, r.value) for r in out.history.collect() if r.step)
+    assert got == [(2, "e::a", 2, "2"), (3, "e::a", 2, "3"), (3, "e::b", 3, "4")]
+    with pytest.raises(SetupNameError):
+        Entity("e", contains=[IntegerField("a", cleaners=[FieldValidation(F.a.Parent.Parent.a > 1)])]).apply(df)
+    with pytest.raises(ApplyError):
+        e.apply(df).history

@@ -59,6 +59,39 @@ def Function(py: Callable | None = None, *, native: Callable[..., Any] | None =
     return call
 
 
+class Item:
+    """What a function over items gets for an argument about one item: ``name`` if it is a bare member or a text, and a call that
+    gives the column of the argument for an item."""
+
+    def __init__(self, lazy: Lazy, kind: T.DataType):
+        self.lazy, self.kind, self.name = lazy, kind, lazy.name
+
+    def __call__(self, item: Any) -> Any:
+        return self.lazy.each(Value(item, self.kind)).col
+
+    def dtype(self) -> T.DataType:
+        """The type of the argument, for functions that pass it on."""
+        return self.lazy.each(Value(F.lit(None).cast(self.kind), self.kind)).dtype
+
+
+def ItemsFunction(native: Callable[..., Any], *, returns: T.DataType | Callable[[T.DataType], T.DataType] | None = None, name: str | None = None, args: tuple = (), kwargs: dict[str, Any] | None = None, force: bool = False) -> Callable[..., Value]:
+    """A function of a list of items, in chains (``F.lines.Spread(This.q)``) or called on one.  ``native(items, *arguments)`` takes the column of the
+    list, and an :class:`Item` for each argument of the expression, after the fixed ones.  returns: a type, or what gives one from the
+    type of the items; the list's own type where it is left out."""
+
+    def call(items: Value, *given: Any, **more: Any) -> Value:
+        if not isinstance(items, Value) or not isinstance(items.dtype, T.ArrayType):
+            raise SetupTypeError(f"{call.__name__} needs a list" + (f", not {items.dtype.simpleString()}" if isinstance(items, Value) else ""))
+        kind = items.dtype.elementType
+        wrapped = lambda v: Item(v, kind) if isinstance(v, Lazy) else v.col if isinstance(v, Value) else v
+        out = native(items.col, *args, *map(wrapped, given), **(kwargs or {}), **{k: wrapped(v) for k, v in more.items()})
+        return Value(out, items.dtype if returns is None else returns if isinstance(returns, T.DataType) else returns(kind))
+
+    call.__name__ = name or getattr(native, "__name__", "ItemsFunction")
+    call.force, call.takes_items = force, True
+    return call
+
+
 def FunctionByMethod(settings: Any, method: str, **how: Any) -> Callable[..., Value]:
     """A function that is a method of a settings object, which travels with the tasks."""
     return Function(getattr(settings, method), name=how.pop("name", method), **how)

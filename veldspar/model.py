@@ -363,7 +363,7 @@ class Settings:
     """``values`` and ``methods`` (called once on the driver) are what Ctx.<name> gives; ``functions`` are added to the builtins.
 
     Names of settings given to apply win over those of the entity.  ``strict`` lets errors in expressions fail the job;
-    otherwise they give null, hence a broken rule.
+    otherwise they give null, hence a broken rule.  ``trace`` keeps what each evaluation found and gave (:attr:`ApplyFrame.history`).
     """
 
     values: dict[str, Any] = field(default_factory=dict)
@@ -374,11 +374,12 @@ class Settings:
     strict_choices: bool = False
     strict_email: bool = False
     debug: bool = False
+    trace: bool = False
 
     def merged(self, other: Settings | None) -> Settings:
         if other is None:
             return self
-        return Settings({**self.values, **other.values}, {**self.methods, **other.methods}, {**self.functions, **other.functions}, other.default_mode, other.strict, other.strict_choices, other.strict_email, other.debug)
+        return Settings({**self.values, **other.values}, {**self.methods, **other.methods}, {**self.functions, **other.functions}, other.default_mode, other.strict, other.strict_choices, other.strict_email, other.debug, other.trace)
 
     def context(self) -> dict[str, Any]:
         return {"Debug": self.debug, **self.values, **{k: f() for k, f in self.methods.items()}}

@@ -22,12 +22,14 @@ from ..model import (
     BooleanField, ChildrenEvaluation, ChoiceField, Component, Default, Entity, EnumField, ExactLength, Field, FieldEvaluation, FieldGroup, HourFieldValidation, ItemsEvaluation,
     MaxLength, MinLength, MinValue, RangeLength, Readonly, Required, Settings, SingleValidation, SubEntity, SubEntityItems, Validation, _Multi, _Range, _UniqueGlobal, _UniqueItems,
 )
+from ..operators.diff import any_null, unique_by
 from .compiler import Scope, adapt, compile_expr, member
 from .setup import dtype_of, flat, schema_of
 
 ERROR = "struct<key_string:string,error:string,validation_name:string,validation_title:string,details:string>"
 CHANGE = "struct<key_string:string,change_op:string,init_value:string,value:string>"
-INIT, OP = "__init", "__op"
+HISTORY = "struct<key_string:string,step:int,phase:string,value:string>"
+INIT, OP, TRACE = "__init", "__op", "__history"
 
 
 @dataclass(frozen=True)
@@ -47,13 +49,21 @@ class ApplyFrame:
         """One row per change, with the key fields."""
         return self.df.select(*self.keys, F.explode("_changes").alias("c")).select(*self.keys, "c.*")
 
+    @cached_property
+    def history(self) -> DataFrame:
+        """One row per value that a phase set, with the key fields, in order: ``step`` 0 is what was stored, then come the overlay and the
+        evaluations in their order.  Only with Settings(trace=True)."""
+        if "_history" not in self.df.columns:
+            raise ApplyError("values are traced with Settings(trace=True) only")
+        return self.df.select(*self.keys, F.explode("_history").alias("h")).select(*self.keys, "h.*")
+
     def summary(self) -> DataFrame:
         """Failures by rule."""
         return self.df.select(F.explode("_errors").alias("e")).groupBy(F.regexp_replace("e.key_string", r"\[[^\]]*\]", "").alias("component"), F.col("e.validation_name").alias("validation_name"), F.col("e.error").alias("error")).agg(F.count("*").alias("n_failed"))
 
     def dump(self) -> DataFrame:
         """The key fields and all values of each row as JSON."""
-        hidden = {"_op", "_errors", "_changes", "_ok"}
+        hidden = {"_op", "_errors", "_changes", "_ok", "_history"}
         return self.df.select(*self.keys, F.to_json(F.struct(*[c for c in self.df.columns if c not in hidden])).alias("json"))
 
     def raise_if_failed(self) -> None:
@@ -97,6 +107,9 @@ def bind(parts: tuple[Component, ...], source: Value, mode: str = "stored", bad:
         if isinstance(c, SubEntityItems):
             if not isinstance(v.dtype, T.ArrayType):
                 raise SetupTypeError(f"{c.name} needs a list, not {v.dtype.simpleString()}")
+            if _as_it_is(c.contains, v.dtype.elementType, mode):
+                out[c.name] = v
+                continue
             kinds: list[T.DataType] = []
 
             def one(x: Column) -> Column:  # noqa: B023 - called at once
@@ -117,6 +130,26 @@ def bind(parts: tuple[Component, ...], source: Value, mode: str = "stored", bad:
     return out
 
 
+def _as_it_is(parts: tuple[Component, ...], kind: T.DataType, mode: str) -> bool:
+    """Whether items of this type have just the fields of parts, by name, type and order: then nothing has to be built."""
+    level = [c for c, _ in flat(parts) if isinstance(c, (Field, SubEntity, SubEntityItems))]
+    if not isinstance(kind, T.StructType) or [c.name for c in level] != kind.fieldNames():
+        return False
+    for c in level:
+        inner = kind[c.name].dataType
+        if mode == "stored" and c.path != (c.name,):
+            return False
+        if isinstance(c, SubEntityItems):
+            if not isinstance(inner, T.ArrayType) or not _as_it_is(c.contains, inner.elementType, mode):
+                return False
+        elif isinstance(c, SubEntity):
+            if not _as_it_is(c.contains, inner, mode):
+                return False
+        elif dtype_of(c) not in (None, inner):
+            return False
+    return True
+
+
 def _mark(parts: tuple[Component, ...], values: dict[str, Value], op: Column) -> dict[str, Value]:
     """Items get their first values and an operation, which later phases read."""
     out = dict(values)
@@ -131,6 +164,10 @@ def _mark(parts: tuple[Component, ...], values: dict[str, Value], op: Column) ->
     return out
 
 
+def _marked(items: Value) -> bool:
+    return INIT in items.dtype.elementType.fieldNames()
+
+
 def _merge_items(c: SubEntityItems, old: Value, new: Value) -> Value:
     """Items of both sides matched by key, else by place: matched ones take the new members, the rest are DELETE or ADDED."""
     kind, patch = old.dtype.elementType, new.dtype.elementType
@@ -147,15 +184,30 @@ def _merge_items(c: SubEntityItems, old: Value, new: Value) -> Value:
 
     olds, news = F.coalesce(old.col, F.array().cast(old.dtype)), F.coalesce(new.col, F.array().cast(new.dtype))
     if c.keys:
-        def same(x: Column, y: Column) -> Column:
-            return reduce(lambda a, b: a & b, [F.coalesce(x.getField(k) == y.getField(k), F.lit(False)) for k in c.keys.names])
-
-        twice = lambda xs: F.exists(F.transform(xs, lambda x: F.size(F.filter(xs, lambda y: same(x, y)))), lambda n: n > 1)
-        missing = F.exists(olds, lambda x: reduce(lambda a, b: a | b, [x.getField(k).isNull() for k in c.keys.names]))
-        guard = F.when(twice(olds) | twice(news), F.raise_error(F.lit(f"{c.name} holds a key twice"))).when(missing, F.raise_error(F.lit(f"{c.name} holds a stored item without key"))).otherwise(F.lit(None))
-        olds = F.when(guard.isNull(), olds)
-        kept = F.transform(olds, lambda x: F.when(F.exists(news, lambda y: same(x, y)), row(x, F.try_element_at(F.filter(news, lambda y: same(x, y)), F.lit(1)), "UPDATE")).otherwise(row(x, None, "DELETE")))
-        added = F.transform(F.filter(news, lambda y: ~F.exists(olds, lambda x: same(x, y))), lambda y: row(None, y, "ADDED"))
+        # keys of both sides in one order: a stored item stands right before the new one of its key, so a sort finds all matches
+        key = lambda x: F.struct(*[x.getField(k).cast(kind[k].dataType).alias(k) for k in c.keys.names])
+        null = lambda x: reduce(lambda a, b: a | b, [x.getField(k).isNull() for k in c.keys.names])
+        entry = lambda side: lambda x, i: F.struct(null(x).alias("null"), key(x).alias("key"), F.lit(side).alias("side"), i.alias("at"))
+        entries = F.sort_array(F.concat(F.transform(olds, entry(0)), F.transform(news, entry(1))))
+
+        def pair(es: Column) -> Column:
+            """(order, place among the stored, place among the new) of each item to come; null for a new one that its stored one brings."""
+
+            def one(e: Column, i: Column) -> Column:
+                other = lambda step: F.when(i + step >= 0, F.get(es, i + step))
+                same = lambda o: F.coalesce(~e.null & ~o["null"] & (e.key == o["key"]), F.lit(False))
+                before, after = other(-1), other(1)
+                bad = F.when((e.side == 0) & e.null, F.raise_error(F.lit(f"{c.name} holds a stored item without key"))).when(same(before) & (before["side"] == e.side), F.raise_error(F.lit(f"{c.name} holds a key twice")))
+                found = F.when(e.side == 0, F.struct(F.lit(0).alias("o"), e.at.alias("old"), F.when(same(after), after["at"]).alias("new"))).when(~same(before), F.struct(F.lit(1).alias("o"), e.at.alias("old"), e.at.alias("new")))
+                return F.when(bad.isNull(), found)
+
+            return F.sort_array(F.filter(F.transform(es, one), lambda x: x.isNotNull()))
+
+        # one array at hand for all its items
+        pairs = F.get(F.transform(F.array(entries), pair), F.lit(0))
+        old_at, new_at = lambda x: F.get(olds, x["old"]), lambda x: F.get(news, x["new"])
+        merged = F.transform(pairs, lambda x: F.when(x["o"] == 1, row(None, new_at(x), "ADDED")).when(x["new"].isNull(), row(old_at(x), None, "DELETE")).otherwise(row(old_at(x), new_at(x), "UPDATE")))
+        return Value(merged, T.ArrayType(full))
     else:
         kept = F.transform(olds, lambda x, i: F.when(i < F.size(news), row(x, F.get(news, i), "UPDATE")).otherwise(row(x, None, "DELETE")))
         added = F.transform(F.filter(news, lambda y, i: i >= F.size(olds)), lambda y: row(None, y, "ADDED"))
@@ -204,8 +256,23 @@ def _gate(gates: tuple[str, ...], init: Value) -> Column | None:
     return _all([truth(member(init, g, g)) for g in gates])
 
 
+def _traced(entity: Entity, name: str, step: int, phase: str, v: Value) -> Column:
+    return F.struct(F.lit(f"{entity.name}::{name}").alias("key_string"), F.lit(step).alias("step"), F.lit(phase).alias("phase"), _text(v).alias("value"))
+
+
+def _first_values(df: DataFrame, entity: Entity, kinds: dict[str, T.DataType]) -> DataFrame:
+    """df with the stored values of all fields, and those that the overlay changed, as the first entries of the history."""
+    rows = []
+    for k, kind in kinds.items():
+        if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
+            continue  # items have their change log
+        stored, now = Value(F.col(INIT).getField(k), kind), Value(F.col(k), kind)
+        rows += [_traced(entity, k, 0, "stored", stored), F.when(~stored.col.eqNullSafe(now.col), _traced(entity, k, 1, "overlay", now))]
+    return df.withColumn(TRACE, F.filter(F.array(*rows), lambda e: e.isNotNull()).cast(f"array<{HISTORY}>") if rows else _empty(HISTORY))
+
+
 def _evaluate(df: DataFrame, entity: Entity, root: Callable[[DataFrame], Scope], settings: Settings, only: str | None) -> DataFrame:
-    for path, x, gates in _evaluations(entity.contains, []):
+    for step, (path, x, gates) in enumerate(_evaluations(entity.contains, []), 2):
         if only and only not in [p.name for p in path]:
             continue
         scope = root(df)
@@ -232,7 +299,14 @@ def _evaluate(df: DataFrame, entity: Entity, root: Callable[[DataFrame], Scope],
                     new = F.when(_all([truth(inner.fields[g]) for g in gates]), new).otherwise(current.col)
             return new
 
-        df = df.withColumn(top.name, _wrap(path, scope.fields[top.name], scope, leaf))
+        new = _wrap(path, scope.fields[top.name], scope, leaf)
+        if settings.trace:
+            before, kind = scope.fields[top.name], scope.fields[top.name].dtype
+            df = df.withColumn("__new", new)
+            entry = _traced(entity, "::".join(p.name for p in path), step, type(x).__name__, Value(F.col("__new"), kind))
+            df = df.withColumn(TRACE, F.when(before.col.eqNullSafe(F.col("__new")), F.col(TRACE)).otherwise(F.concat(TRACE, F.array(entry.cast(HISTORY))))).withColumn(top.name, F.col("__new")).drop("__new")
+        else:
+            df = df.withColumn(top.name, new)
     return df
 
 
@@ -394,7 +468,8 @@ def _items_errors(c: SubEntityItems, v: Value, scope: Scope, key: Column, gate:
     def one(x: Column, i: Column) -> Column:
         item = Value(x, v.dtype.elementType)
         inner = scope.inner(fields=_members(item))
-        nested = _errors(c.contains, inner, member(item, INIT, INIT), _item_key(c, x, i, key), settings, only, inside)
+        first = member(item, INIT, INIT) if _marked(v) else item  # items that nothing changes are their first values
+        nested = _errors(c.contains, inner, first, _item_key(c, x, i, key), settings, only, inside)
         empty.append(not nested)
         return F.concat(*nested) if nested else _empty(ERROR)
 
@@ -413,6 +488,8 @@ def _changes(parts: tuple[Component, ...], now: dict[str, Value], init: Value, p
         key = F.concat(prefix, F.lit(f"::{c.name}"))
         if isinstance(c, SubEntityItems):
             v = now[c.name]
+            if not _marked(v):
+                continue
 
             def one(x: Column, i: Column) -> Column:  # noqa: B023 - called at once
                 item = Value(x, v.dtype.elementType)
@@ -467,7 +544,9 @@ def apply(entity: Entity, df: DataFrame | None, new: DataFrame | None = None, *,
         raise SetupNameError(f"no component {only}")
     bad: list[tuple[str, Column]] = []
     if new is None:
-        values = _mark(entity.contains, bind(entity.contains, _source(df), "stored", bad), F.lit(None))
+        values = bind(entity.contains, _source(df), "stored", bad)
+        moved = {path[0].name for path, _, _ in _evaluations(entity.contains, [])}
+        values = _mark(tuple(c for c, _ in flat(entity.contains) if c.name in moved), values, F.lit(None))
         state = df.select(*[v.col.alias(k) for k, v in values.items()], F.lit(None).cast("string").alias(OP), _bad(bad, entity).alias("__bad"))
     else:
         state, values = _overlay(entity, df, new, keys, missing)
@@ -480,6 +559,8 @@ def apply(entity: Entity, df: DataFrame | None, new: DataFrame | None = None, *,
         fields = {k: Value(F.col(k), kinds[k]) for k in names}
         return Scope(fields, context=context, functions=setting.functions, strict=setting.strict, this={})
 
+    if setting.trace:
+        state = _first_values(state, entity, kinds)
     state = _evaluate(state, entity, root, setting, only)
     scope, init = root(state), Value(F.col(INIT), state.schema[INIT].dataType)
     prefix = F.lit(entity.name)
@@ -496,7 +577,7 @@ def apply(entity: Entity, df: DataFrame | None, new: DataFrame | None = None, *,
     if validate and only is None:
         out = _unique_global(out, entity, keys)
     shown = [_strip(c, Value(F.col(c.name), kinds[c.name])).alias(c.name) for c, _ in flat(entity.contains) if c.name in kinds]
-    out = out.select(*shown, F.col(OP).alias("_op"), "_errors", "_changes", (F.size("_errors") == 0).alias("_ok"))
+    out = out.select(*shown, F.col(OP).alias("_op"), "_errors", "_changes", (F.size("_errors") == 0).alias("_ok"), *([F.col(TRACE).alias("_history")] if setting.trace else []))
     return ApplyFrame(out, tuple(keys))
 
 
@@ -505,7 +586,7 @@ def _names(parts: tuple[Component, ...]) -> set[str]:
 
 
 def _strip(c: Component, v: Value) -> Column:
-    if isinstance(c, SubEntityItems):
+    if isinstance(c, SubEntityItems) and _marked(v):
         return F.transform(v.col, lambda x: x.dropFields(INIT, OP))
     return v.col
 
@@ -534,9 +615,11 @@ def _overlay(entity: Entity, df: DataFrame | None, new: DataFrame, keys: tuple[s
     left = old_df.select(_struct(old_values).col.alias("__o"), *[old_values[k].col.alias(f"__ok_{k}") for k in keys])
     present = [F.col("_present").alias("__present")] if "_present" in new.columns else []
     right = new.select(_struct(patch).col.alias("__n"), *[patch[k].col.alias(f"__nk_{k}") for k in keys], *present)
-    # a null key in new never matches, so those rows are added
-    on = reduce(lambda a, b: a & b, [F.col(f"__ok_{k}") == F.col(f"__nk_{k}") for k in keys])
-    joined = left.join(right, on, "full_outer")
+    old_keys, new_keys = tuple(f"__ok_{k}" for k in keys), tuple(f"__nk_{k}" for k in keys)
+    on = reduce(lambda a, b: a & b, [F.col(a) == F.col(b) for a, b in zip(old_keys, new_keys, strict=True)])
+    matched = unique_by(left, old_keys, f"stored {entity.name}").join(unique_by(right.where(~any_null(new_keys)), new_keys, f"new {entity.name}"), on, "full_outer")
+    # a null key in new never matches, so those rows are added, without a shuffle
+    joined = matched.unionByName(right.where(any_null(new_keys)), allowMissingColumns=True)
     has_old, has_new = F.col("__o").isNotNull(), F.col("__n").isNotNull()
     op = F.when(~has_old, "ADDED").when(has_old & has_new, "UPDATE").otherwise(F.lit("DELETE" if missing == "delete" else None))
     out: dict[str, Value] = {}

@@ -122,6 +122,8 @@ def _path(e: Path, scope: Scope) -> Value:
         if not e.parts:
             raise SetupNameError("F needs a field")
         v, rest = _find(scope, e.parts[0]), e.parts[1:]
+        if rest[:1] == ("Parent",):
+            return _parent(scope, e.parts[0], rest, where)
     for name in rest:
         if name == "Instance":
             continue
@@ -129,6 +131,33 @@ def _path(e: Path, scope: Scope) -> Value:
     return v
 
 
+def _parent(scope: Scope, name: str, rest: tuple[str, ...], where: str) -> Value:
+    """``F.x.Parent``: the structure that holds field x, with its current values; ``.Parent`` again is the one around it."""
+    at: Scope | None = scope
+    inside = None
+    while at is not None and name not in at.fields:
+        below = [v for v in at.fields.values() if isinstance(v.dtype, T.StructType) and name in v.dtype.fieldNames()]
+        if below:
+            inside = below[0]
+            break
+        at = at.up
+    while rest[:1] == ("Parent",):
+        if at is None:
+            raise SetupNameError(f"{where}: nothing is around the entity")
+        if inside is not None:
+            v, inside = inside, None
+        else:
+            v = Value(F.struct(*[x.col.alias(k) for k, x in at.fields.items()]), T.StructType([T.StructField(k, x.dtype) for k, x in at.fields.items()]))
+            if rest[1:2] and rest[1] in at.fields:  # one member only: no structure is built
+                v, rest = at.fields[rest[1]], rest[1:]
+            at = at.up
+        rest = rest[1:]
+    for part in rest:
+        if part != "Instance":
+            v = member(v, part, where)
+    return v
+
+
 def _call(e: Call, scope: Scope) -> Value:
     f = lookup(scope.functions, e.func)
     takes_items = getattr(f, "takes_items", False)

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import enum
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import model as m
-from .expr import Ctx, F as f, This
-from .functions.registry import Function
+from .expr import Ctx, F as f, M, This, parse
+from .functions.builtin import EnumMembers
+from .functions.registry import Function, FunctionByMethod, ItemsFunction
+from .meta import codegen, io
 from .operators import diff as d
 from .operators import flat
 from .sources.tables import nest
@@ -451,6 +454,149 @@ def dump_values(spark, sf):
     return j.select("j.*")
 
 
+@_q("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+def diff_duplicate_keys(spark, sf):
+    return d.duplicate_keys(_t(spark, sf, "lineitem"), ("l_orderkey", "l_linenumber")).select("l_orderkey", "l_linenumber", "n")
+
+
+@_q("SELECT CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_custkey END AS c_custkey, 'ADDED' AS change_op FROM customer WHERE c_custkey % 4 = 0 UNION ALL SELECT c_custkey, 'DELETE' FROM customer WHERE c_custkey % 4 = 0")
+def diff_null_keys(spark, sf):
+    old = _t(spark, sf, "customer").select("c_custkey", "c_name")
+    new = old.withColumn("c_custkey", F.when(F.col("c_custkey") % 4 != 0, F.col("c_custkey")))
+    return d.diff(old, new, ("c_custkey",)).select("c_custkey", "change_op")
+
+
+def _numbered(spark, sf):
+    """Lines of orders by their numbers, which the driver's tables repeat."""
+    return _t(spark, sf, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").cast("long").alias("n")).agg(F.count("*").alias("q"))
+
+
+@_q("""
+WITH g AS (SELECT l_orderkey, l_linenumber AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_orderkey % 2 = 0 GROUP BY ALL)
+SELECT l_orderkey AS o_orderkey, 'order::lines[n=1]' AS key_string, 'DELETE' AS change_op FROM g WHERE n = 1
+UNION ALL SELECT l_orderkey, 'order::lines[n=' || n || ']::q', 'UPDATE' FROM g WHERE n % 2 = 0
+UNION ALL SELECT o_orderkey, 'order::lines[n=100]', 'ADDED' FROM orders WHERE o_orderkey % 2 = 0
+""")
+def overlay_items_by_key(spark, sf):
+    orders, lines = _t(spark, sf, "orders").select("o_orderkey"), _numbered(spark, sf)
+    old = nest(orders, lines, {"o_orderkey": "l_orderkey"}, "lines", order=("n",))
+    some = orders.where("o_orderkey % 2 = 0")
+    moved = lines.where("n <> 1").withColumn("q", F.col("q") + F.when(F.col("n") % 2 == 0, 1).otherwise(0)).unionByName(some.select(F.col("o_orderkey").alias("l_orderkey"), F.lit(100).cast("long").alias("n"), F.lit(1).cast("long").alias("q")))
+    new = nest(some, moved, {"o_orderkey": "l_orderkey"}, "lines", order=("q", "n"))
+    items = m.SubEntityItems("lines", contains=[m.IdField("n"), m.IntegerField("q")], keys=m.KeyFields("n"))
+    return m.Entity("order", contains=[m.IdField("o_orderkey"), items], keys=m.KeyFields("o_orderkey")).apply(old, new).changes.select("o_orderkey", "key_string", "change_op")
+
+
+@_q("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 1.5 ELSE o_totalprice END AS price FROM orders")
+def patch_by_field_names(spark, sf):
+    e = m.Entity("order", contains=[m.IdField("id", bind_to="o_orderkey"), m.FloatField("price", bind_to="o_totalprice")], keys=m.KeyFields("id"))
+    old = _t(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    return e.apply(old, old.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("id"), F.lit(1.5).alias("price"))).df.select("id", "price")
+
+
+@_q("""
+SELECT c_custkey, 0 AS step, 'stored' AS phase, c_nationkey::VARCHAR AS value FROM customer
+UNION ALL SELECT c_custkey, 1, 'overlay', '99' FROM customer WHERE c_custkey % 2 = 0
+UNION ALL SELECT c_custkey, 2, 'FieldEvaluation', (CASE WHEN c_custkey % 2 = 0 THEN 99 ELSE c_nationkey END + 1)::VARCHAR FROM customer
+UNION ALL SELECT c_custkey, 3, 'FieldEvaluation', '0' FROM customer WHERE c_custkey % 2 = 0
+""")
+def value_history(spark, sf):
+    e = _customer(m.IntegerField("c_nationkey", cleaners=[m.FieldEvaluation(This.Value + 1), m.FieldEvaluation(0, available=This.Value > 50)]))
+    old = _t(spark, sf, "customer").select("c_custkey", "c_nationkey")
+    h = e.apply(old, old.where("c_custkey % 2 = 0").withColumn("c_nationkey", F.lit(99)), settings=m.Settings(trace=True)).history
+    return h.where("key_string = 'customer::c_nationkey'").select("c_custkey", "step", "phase", "value")
+
+
+# -- names and types
+
+
+@_q("SELECT l_orderkey AS key, 'a' AS rule FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE NOT l_quantity <= l_extendedprice / 200 UNION ALL SELECT l_orderkey, 'b' FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE NOT l_extendedprice <= o_totalprice")
+def scope_parent(spark, sf):
+    rules = [m.FieldValidation(This.Value <= f.l_quantity.Parent.l_extendedprice / 200, name="a"), m.FieldValidation(f.l_quantity.Parent.Parent.o_totalprice >= f.l_extendedprice, name="b")]
+    lines = m.SubEntityItems("lines", contains=[m.FloatField("l_extendedprice"), m.FloatField("l_quantity", cleaners=rules)])
+    e = m.Entity("order", contains=[m.IdField("o_orderkey"), m.FloatField("o_totalprice"), lines], keys=m.KeyFields("o_orderkey"))
+    return _failed(e.apply(orders_with_lines(spark, sf)), "key")
+
+
+@_q("SELECT c_custkey, c_acctbal > 100 AS low, c_acctbal > 9000 AS high, TRUE AS debug, c_nationkey + 5 AS moved, 2 AS members FROM customer")
+def ctx_names(spark, sf):
+    """Settings values and methods, those given to apply first, Debug, a function by method, and members of an enum."""
+
+    class Kind(enum.Enum):
+        A, B = 1, 2
+
+    class Mover:
+        def move(self, x: int) -> int:
+            return x + 5
+
+    s = m.Settings(values={"low": 100, "high": 1}, methods={"high": lambda: 9000}, debug=True, functions={"Move": FunctionByMethod(Mover(), "move"), "Kinds": EnumMembers(Kind)})
+    low, high, debug, moved = f.c_acctbal > Ctx.low, f.c_acctbal > Ctx.high, Ctx.Debug, Ctx.Move(f.c_nationkey)
+    return _exprs(spark, sf, "customer", "c_custkey", settings=s, low=("boolean", low), high=("boolean", high), debug=("boolean", debug), moved=("long", moved), members=("long", Ctx.Kinds().Count()))
+
+
+@_q(f"WITH {_LINES} SELECT o_orderkey, max(l_quantity) - min(l_quantity) AS spread, count(*) FILTER (l_quantity > 10) AS many FROM lines GROUP BY 1")
+def fn_items(spark, sf):
+    spread = ItemsFunction(lambda xs, of: F.array_max(F.transform(xs, of)) - F.array_min(F.transform(xs, of)), returns=_double(), name="Spread")
+    above = ItemsFunction(lambda xs, least, of: F.filter(xs, lambda x: of(x) > least), args=(10,), name="Above")
+    base = orders_with_lines(spark, sf).withColumns({"spread": F.lit(None).cast("double"), "many": F.lit(None).cast("long")})
+    lines = m.SubEntityItems("lines", contains=[m.FloatField("l_quantity")])
+    made = [m.FloatField("spread", cleaners=[m.FieldEvaluation(f.lines.Spread(This.l_quantity))]), m.IntegerField("many", cleaners=[m.FieldEvaluation(f.lines.Above(This.l_quantity).Count())])]
+    e = m.Entity("order", contains=[m.IdField("o_orderkey"), lines, *made], keys=m.KeyFields("o_orderkey"), settings=m.Settings(functions={"Spread": spread, "Above": above}))
+    return e.apply(base).df.select("o_orderkey", "spread", "many")
+
+
+@_q("SELECT p_partkey AS key, 'Type' AS rule FROM part WHERE p_partkey % 3 = 0")
+def val_type(spark, sf):
+    rows = _t(spark, sf, "part").select("p_partkey", F.concat(F.when(F.col("p_partkey") % 3 == 0, "x").otherwise(""), F.col("p_partkey").cast("string")).alias("code"))
+    return _failed(m.Entity("part", contains=[m.IdField("p_partkey"), m.IntegerField("code")], keys=m.KeyFields("p_partkey")).apply(rows), "key")
+
+
+@_q("SELECT c_custkey, c_name AS label, c_acctbal::VARCHAR AS text FROM customer")
+def bind_paths(spark, sf):
+    """Fields bound to M paths, also into a structure; a number for a text field becomes text."""
+    rows = _t(spark, sf, "customer").select("c_custkey", F.struct(F.struct("c_name").alias("b"), "c_acctbal").alias("a"))
+    e = _customer(m.StringField("label", bind_to=M.a.b.c_name), m.StringField("text", bind_to=M.a.c_acctbal))
+    return e.apply(rows).df.select("c_custkey", "label", "text")
+
+
+@_q("SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+def read_handler(spark, sf):
+    """Children from a function that reads them for all parents at once."""
+    fetch = lambda parents: _t(spark, sf, "orders").join(parents.select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_semi").select("o_custkey", "o_orderkey")
+    rows = nest(_t(spark, sf, "customer").select("c_custkey"), fetch, {"c_custkey": "o_custkey"}, "orders", order=("o_orderkey",)).withColumn("n", F.lit(None).cast("long"))
+    e = _customer(m.SubEntityItems("orders", contains=[m.IdField("o_orderkey")]), m.IntegerField("n", cleaners=[m.FieldEvaluation(f.orders.Count())]))
+    return e.apply(rows).df.select("c_custkey", "n")
+
+
+# -- definitions and schemas as data
+
+
+@_q("SELECT 'order' AS name, TRUE AS same_again, 5 AS n_parts, 4 AS n_rules")
+def meta_round_trip(spark, sf):
+    """A definition as text and back, and the same results from both."""
+    back = io.load(io.to_json(ORDER))
+    rules = [x for c in ORDER.contains for x in c.cleaners]
+    same = io.dump(back) == io.dump(ORDER) and expression_texts(back) == expression_texts(ORDER)
+    return spark.createDataFrame([(back.name, same, len(back.contains), len(rules) + 1)], "name string, same_again boolean, n_parts int, n_rules int")
+
+
+def expression_texts(e) -> list[str]:
+    return [parse(x.ensure.to_source()).to_source() for c in e.contains for x in c.cleaners]
+
+
+@_q("SELECT * FROM (VALUES ('c_custkey', 'same'), ('c_name', 'same'), ('c_nationkey', 'diff'), ('c_acctbal', 'source_only'), ('c_mktsegment', 'source_only'), ('extra', 'target_only')) AS t(name, state)")
+def meta_schema_diff(spark, sf):
+    target = _customer(m.StringField("c_name"), m.IntegerField("c_nationkey"), m.StringField("extra")).schema()
+    return spark.createDataFrame([(r[0], r[1]) for r in io.schema_diff(_t(spark, sf, "customer").schema, target)], "name string, state string")
+
+
+@_q("SELECT 'CREATE TABLE order (' || chr(10) || '  o_orderkey bigint,' || chr(10) || '  o_totalprice double,' || chr(10) || '  o_orderpriority string' || chr(10) || ')' AS ddl, 3 AS n_dataclass, 3 AS n_pydantic")
+def meta_models(spark, sf):
+    e = _order_entity()
+    members = lambda text: sum(line.startswith("    o_") for line in text.splitlines())
+    return spark.createDataFrame([(codegen.to_ddl(e), members(codegen.to_dataclass(e)), members(codegen.to_pydantic(e)))], "ddl string, n_dataclass int, n_pydantic int")
+
+
 # -- other tables
 
 
