@@ -20,6 +20,7 @@ linked.  Repeated rows stay repeated, linked alike.  Other columns are not carri
 
 from __future__ import annotations
 
+import itertools
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -90,7 +91,9 @@ def parse(messages: DataFrame) -> DataFrame:
 
 def _calls(parsed: DataFrame, tools: dict[str, dict[str, Any]]) -> DataFrame:
     """One row per call, with its arguments as canonical JSON, what it depends on, and whether it is valid."""
-    one = parsed.where("conv_id IS NOT NULL").select("conv_id", "turn", "uid", F.posexplode("calls").alias("i", "c")).select("conv_id", "turn", "uid", "i", F.col("c.id").alias("id"), F.col("c.function.name").alias("name"), F.col("c.function.arguments").alias("a"), F.col("c.depends_on").alias("d"))
+    # repeated rows share their uid: their calls count once, and each of the rows gets them
+    once = parsed.where("conv_id IS NOT NULL AND size(calls) > 0").select("conv_id", "turn", "uid", "calls").dropDuplicates(["conv_id", "uid"])
+    one = once.select("conv_id", "turn", "uid", F.posexplode("calls").alias("i", "c")).select("conv_id", "turn", "uid", "i", F.col("c.id").alias("id"), F.col("c.function.name").alias("name"), F.col("c.function.arguments").alias("a"), F.col("c.depends_on").alias("d"))
     as_text = F.try_variant_get("a", "$", "string")
     args = F.when(F.schema_of_variant("a") == "STRING", F.try_parse_json(as_text)).otherwise(F.col("a"))
     one = one.withColumn("args", args)
@@ -104,7 +107,7 @@ def _calls(parsed: DataFrame, tools: dict[str, dict[str, Any]]) -> DataFrame:
     return one.select("conv_id", "turn", "uid", "i", "id", "name", "arguments", needs.alias("needs"), check.alias("check"))
 
 
-def link(messages: DataFrame, tools: dict[str, dict[str, Any]] | None = None, max_levels: int = 1000) -> DataFrame:
+def link(messages: DataFrame, tools: dict[str, dict[str, Any]] | None = None) -> DataFrame:
     """One row per message: conv_id, turn, role, order_turn, level, is_result, n_calls, n_answered, n_invalid, status, json.
 
     status: ``plain``, ``calls``, ``linked``, ``orphan`` (a result without its call), ``duplicate`` (of an id already used)
@@ -125,7 +128,7 @@ def link(messages: DataFrame, tools: dict[str, dict[str, Any]] | None = None, ma
     placed = linked.join(waiting, ["conv_id", "id"], "left_anti").select("conv_id", "id", F.lit(0).alias("level"), F.coalesce("turn", F.lit(-(1 << 62))).alias("at"), late.alias("done"))
     if needs.limit(1).count():
         placed = cut(placed)
-        for level in range(1, max_levels + 1):
+        for level in itertools.count(1):
             left = linked.join(placed.select("conv_id", "id"), ["conv_id", "id"], "left_anti")
             met = needs.join(placed.select("conv_id", F.col("id").alias("need"), F.col("done").alias("need_done")), ["conv_id", "need"], "left")
             ready = met.groupBy("conv_id", "id").agg(F.max(F.col("need_done").isNull()).alias("open"), F.max("need_done").alias("after")).where("NOT open")
@@ -134,8 +137,6 @@ def link(messages: DataFrame, tools: dict[str, dict[str, Any]] | None = None, ma
             if not now.limit(1).count():
                 break
             placed = cut(placed.unionByName(now))
-        else:
-            raise ValueError(f"calls depend on each other more than {max_levels} levels deep")
     whole = linked.join(placed, ["conv_id", "id"], "left").select("conv_id", "id", "uid", "i", "r_uid", F.col("level").alias("call_level"), "at", "done")
 
     per_call = calls.join(whole.withColumnRenamed("uid", "f_uid").withColumnRenamed("i", "f_i"), ["conv_id", "id"], "left")

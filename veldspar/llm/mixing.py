@@ -12,7 +12,7 @@ they are summed per partition first, so a hot source is no hot task.  They are b
 sources exist; beyond that they are joined by shuffle with salted keys.
 
 Null and empty texts count one byte, so that a source of such rows still has a rate.  Repeated rows draw alike.  Empty
-tables give no rows.
+tables give no rows.  Columns of any name pass through; only ``copy`` must be a new name, else ValueError.
 """
 
 from __future__ import annotations
@@ -22,8 +22,12 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import quoted, unused
+
 CHUNK = 64.0
 MAX_SOURCES = 10_000
+#: Parts into which each source is cut where sources are joined by shuffle.
+SALTS = 64
 SEED = "mix-1"
 #: Digits of a hash that make a uniform number: 13 hexadecimal ones, 52 bits.
 _DIGITS, _SPAN = 13, float(1 << 52)
@@ -39,25 +43,24 @@ def poisson(rate: Column, *parts: Column) -> Column:
     """The Poisson quantile of ``uniform(parts)`` at ``rate`` (at most CHUNK): the number of k whose distribution function
     is below it.  The sum stops where terms no longer change a double."""
     top = int(CHUNK + 14 * math.sqrt(CHUNK) + 30)
-    u = uniform(*parts)
-    start = F.struct(F.exp(-rate).alias("term"), F.exp(-rate).alias("total"), F.lit(0).alias("k"))
+    # the uniform number goes along, or it would be hashed again in each step
+    start = F.struct(uniform(*parts).alias("u"), F.exp(-rate).alias("term"), F.exp(-rate).alias("total"), F.lit(0).alias("k"))
 
     def step(acc: Column, i: Column) -> Column:
         term = acc.term * rate / i
-        below = acc.total < u
-        return F.when(below, F.struct(term.alias("term"), (acc.total + term).alias("total"), (acc.k + 1).alias("k"))).otherwise(acc)
+        return F.when(acc.total < acc.u, F.struct(acc.u.alias("u"), term.alias("term"), (acc.total + term).alias("total"), (acc.k + 1).alias("k"))).otherwise(acc)
 
     last = F.least(F.lit(top), F.ceil(rate + 14 * F.sqrt(rate) + 30).cast("int"))
     return F.aggregate(F.sequence(F.lit(1), last), start, step, lambda acc: acc.k)
 
 
 def _size(text: str) -> Column:
-    return F.greatest(F.coalesce(F.octet_length(text), F.lit(0)), F.lit(1)).cast("double")
+    return F.greatest(F.coalesce(F.octet_length(F.col(quoted(text))), F.lit(0)), F.lit(1)).cast("double")
 
 
 def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, rest: float = 0.0, temperature: float = 0.5, total: float = 1.0, source: str = "source", text: str = "text") -> DataFrame:
     """(source, rate) for every source of docs; total is the size of the mix against the corpus."""
-    sizes = docs.groupBy(F.col(source).alias("source")).agg(F.sum(_size(text)).alias("size"))
+    sizes = docs.groupBy(F.col(quoted(source)).alias("source")).agg(F.sum(_size(text)).alias("size"))
     if weights is None:
         weight = F.pow("size", F.lit(temperature))
     else:
@@ -77,20 +80,23 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, rest: f
     if copy.lower() in {c.lower() for c in docs.columns}:
         raise ValueError(f"column {copy} is already there; name another")
     columns = docs.columns
-    known = rates(docs, weights, rest, temperature, total, source, text).withColumnRenamed("source", "_source").withColumnRenamed("rate", "_rate")
+    at = unused([*columns, copy])  # helper columns clash with none of the input
+    names = {n: f"{at}_{n}" for n in ("id", "text", "source", "of", "rate", "salt", "want", "n", "order")}
+    known = rates(docs, weights, rest, temperature, total, source, text).withColumnsRenamed({"source": names["of"], "rate": names["rate"]})
     spark = docs.sparkSession
     rows = known.limit(MAX_SOURCES + 1).collect()
-    key = F.col(source).eqNullSafe(F.col("_source"))
+    docs = docs.withColumns({names["id"]: F.col(quoted(doc_id)).cast("string"), names["text"]: F.md5(F.coalesce(F.col(quoted(text)), F.lit("")).cast("binary"))})
+    key = F.col(quoted(source)).eqNullSafe(F.col(names["of"]))
     if len(rows) <= MAX_SOURCES:
         joined = docs.join(F.broadcast(spark.createDataFrame(rows, known.schema)), key, "left")
     else:
-        salts = 64
-        spread = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        joined = docs.withColumn("_salt_l", F.pmod(F.xxhash64(doc_id, text), F.lit(salts))).join(spread, key & (F.col("_salt_l") == F.col("_salt")), "left").drop("_salt", "_salt_l")
-    who = [F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit("-")), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))]
-    whole = F.floor(F.col("_rate") / CHUNK)
+        spread = known.withColumn(names["salt"], F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = docs.withColumn(names["want"], F.pmod(F.xxhash64(names["id"], names["text"]), F.lit(SALTS))).join(spread, key & (F.col(names["want"]) == F.col(names["salt"])), "left")
+    who = [F.lit(seed), F.coalesce(F.col(names["id"]), F.lit("-")), F.col(names["text"])]
+    rate = F.col(names["rate"])
+    whole = F.floor(rate / CHUNK)
     extra = F.when(whole > 0, F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(whole, F.lit(1).cast("long"))), F.lit(0), lambda s, i: s + poisson(F.lit(CHUNK), *who, i.cast("string")))).otherwise(0)
-    part = F.when(F.col("_rate") - whole * CHUNK > 0, poisson(F.col("_rate") - whole * CHUNK, *who, F.lit("0"))).otherwise(0)
-    counted = joined.withColumn("_n", part + extra).where("_n > 0")
-    copies = counted.withColumn(copy, F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).withColumn("_order", F.md5(F.concat_ws("\x1f", F.lit("order"), *who, F.col(copy).cast("string")).cast("binary")))
-    return copies.repartition("_order").sortWithinPartitions("_order").select(*columns, copy)
+    part = F.when(rate - whole * CHUNK > 0, poisson(rate - whole * CHUNK, *who, F.lit("0"))).otherwise(0)
+    counted = joined.withColumn(names["n"], part + extra).where(F.col(names["n"]) > 0)
+    copies = counted.withColumn(copy, F.explode(F.sequence(F.lit(0), F.col(names["n"]) - 1))).withColumn(names["order"], F.md5(F.concat_ws("\x1f", F.lit("order"), *who, F.col(quoted(copy)).cast("string")).cast("binary")))
+    return copies.repartition(names["order"]).sortWithinPartitions(names["order"]).select(*map(quoted, [*columns, copy]))

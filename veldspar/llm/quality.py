@@ -21,12 +21,17 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._common import SPACE, SPACE_CHARS, table
+from ._common import SPACE, SPACE_CHARS, quoted, table, unused
 
 MIN_WORDS, MAX_REPEAT = 50, 50
 ALPHA, DELTA = 0.02, 0.05
 SYMBOLS = "#*$%&|<>"
+#: Parts into which each stratum is cut where strata are joined by shuffle.
+SALTS = 64
+#: Labelled documents up to which their ids are broadcast (16 MB or so); beyond, documents and labels are joined by shuffle.
+MAX_LABELS = 1_000_000
 #: rule -> (score over the measures, grid of cutoffs: a document is rejected where its score is above one)
 RULES: dict[str, tuple[str, list[float]]] = {
     "symbols": ("n_symbols / greatest(n_words, 1)", [0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 0.8]),
@@ -86,7 +91,8 @@ def _where(df: DataFrame, condition: Column) -> DataFrame:
     """Rows of df that meet condition, by a filter that stays where it is: a predicate that the optimizer pushes below the
     measures copies their expressions into itself and takes each of them again for every element.  It doesn't push
     predicates through a projection with a column that isn't deterministic."""
-    return df.withColumns({"_ok": condition, "_bar": F.rand(0)}).where("_ok AND _bar >= 0").drop("_ok", "_bar")
+    at = unused(df.columns)
+    return df.withColumns({f"{at}_ok": condition, f"{at}_bar": F.rand(0)}).where((F.col(f"{at}_ok")) & (F.col(f"{at}_bar") >= 0)).drop(f"{at}_ok", f"{at}_bar")
 
 
 def base_failed() -> Column:
@@ -107,12 +113,18 @@ def _at_most(n: Column, k: Column, share: float, level: Column) -> Column:
     return F.when((n == 0) | (k >= n * share), F.lit(False)).otherwise(total <= F.log(level))
 
 
+def labelled_good(labels: DataFrame) -> DataFrame:
+    """(_id) of the documents that all their labels call good."""
+    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
+    return known.groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("_good")).where("_good = 1").select("_id")
+
+
 def calibrate(measured: DataFrame, labels: DataFrame, doc_id: str = "doc_id", stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """(stratum, rule, cutoff, n_good, n_rejected): the strictest admissible cutoff of each stratum and rule.
 
     measured: :func:`measures` of at least the labelled documents.  labels: (doc_id, quality 0 or 1).
     """
-    truth = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("_good")).where("_good = 1")
+    truth = labelled_good(labels)
     good = _where(measured, ~base_failed()).select(F.col(doc_id).alias("_id"), F.col(stratum).alias("stratum"), *[F.expr(score).alias(f"s_{rule}") for rule, (score, _) in RULES.items()]).join(truth, "_id", "left_semi")
     tests = [(rule, c) for rule, (_, grid) in RULES.items() for c in grid]
     counted = good.groupBy("stratum").agg(F.count("*").alias("n_good"), *[F.sum((F.col(f"s_{rule}") > c).cast("long")).alias(f"k_{j}") for j, (rule, c) in enumerate(tests)])
@@ -129,31 +141,43 @@ def verdict(measured: DataFrame, cutoffs: DataFrame, stratum: str = "lang", max_
     The cutoffs, one row per stratum, are broadcast while there are at most ``max_strata`` of them; beyond that they are
     joined by shuffle, with the strata spread over salts so that a stratum of a third of all rows is no single task.
     """
-    _free(measured, ("base_failed", "failed_rules", "kept", "_cut", "_salt", "_stratum"))
+    _free(measured, ("base_failed", "failed_rules", "kept", "_cut", "_salt", "_want", "_stratum"))
     wide = cutoffs.groupBy(F.col("stratum").alias("_stratum")).agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("_cut"))
     key = F.col(stratum).eqNullSafe(F.col("_stratum"))
     wide = table(wide, "cutoffs")
     if wide.limit(max_strata + 1).count() <= max_strata:
         joined = measured.join(F.broadcast(wide), key, "left")
     else:
-        salts = 64
-        wide = wide.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        left = measured.withColumn("_salt_l", F.floor(F.rand(7) * salts).cast("int"))
-        joined = left.join(wide, key & (F.col("_salt_l") == F.col("_salt")), "left").drop("_salt", "_salt_l")
+        wide = wide.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        plain = [F.col(quoted(f.name)) for f in measured.schema if isinstance(f.dataType, T.AtomicType)]
+        left = measured.withColumn("_want", F.pmod(F.xxhash64(*plain), F.lit(SALTS)).cast("int"))
+        joined = left.join(wide, key & (F.col("_want") == F.col("_salt")), "left").drop("_salt", "_want")
     hit = [F.when(F.expr(score) > F.element_at("_cut", rule), F.lit(rule)) for rule, (score, _) in RULES.items()]
     out = joined.withColumn("failed_rules", F.array_compact(F.array(*hit))).withColumn("base_failed", base_failed())
     return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)).drop("_cut", "_stratum")
 
 
+def _parts(docs: DataFrame, doc_id: str, text: str, stratum: str) -> DataFrame:
+    """(doc_id, stratum, text) of docs, under names of our own."""
+    return docs.select(F.col(quoted(doc_id)).alias("doc_id"), F.col(quoted(stratum)).alias("stratum"), F.col(quoted(text)).alias("text"))
+
+
 def assess(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
-    """(doc_id, stratum, measures, base_failed, failed_rules, kept), measured once and kept in a scratch table."""
-    measured = table(measures(docs.select(doc_id, stratum, text), text).drop(text), "measures")
-    return verdict(measured, calibrate(measured, labels, doc_id, stratum), stratum)
+    """(doc_id, stratum, measures, base_failed, failed_rules, kept), measured once and kept in a scratch table.  Other
+    columns are not carried."""
+    measured = table(measures(_parts(docs, doc_id, text, stratum)).drop("text"), "measures")
+    return verdict(measured, calibrate(measured, labels, stratum="stratum"), "stratum").withColumnsRenamed({"doc_id": doc_id, "stratum": stratum})
 
 
 def keep(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
-    """The rows of docs that pass, with their columns.  Measures are taken in the same pass that filters, and once more of
-    the documents for the cutoffs, so that no text is shuffled."""
-    columns = docs.columns
-    cutoffs = calibrate(measures(docs.select(doc_id, stratum, text), text), labels, doc_id, stratum)
-    return _where(verdict(measures(docs, text), cutoffs, stratum), F.col("kept")).select(columns)
+    """The rows of docs that pass, with their columns, whatever their names.  Measures are taken in the same pass that
+    filters, and before it of the labelled documents for the cutoffs, so that no text is shuffled."""
+    parts = _parts(docs, doc_id, text, stratum)
+    good = table(labelled_good(labels), "good")
+    few = good.limit(MAX_LABELS + 1).count() <= MAX_LABELS
+    holdout = parts.join(F.broadcast(good) if few else good, F.col("doc_id") == F.col("_id"), "left_semi")
+    cutoffs = calibrate(measures(holdout), labels, stratum="stratum")
+    row = parts.columns
+    whole = docs.select(F.struct(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row"), *[F.col(quoted(c)).alias(n) for c, n in zip((doc_id, stratum, text), row, strict=True)])
+    kept = _where(verdict(measures(whole), cutoffs, "stratum"), F.col("kept"))
+    return kept.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
