@@ -15,8 +15,13 @@ nothing).  Two documents are linked if 100 * intersection >= ``percent`` * union
    components.  Centres change from round to round.  After ``star_rounds`` rounds, all pairs that are left between
    different components of a bucket are verified, so that no link between components of a bucket is lost.
 
-A group of n copies thus costs comparisons in proportion to n, not n * n.  Null and empty texts stand alone.  A null doc_id
-gets no class.  Rows with one doc_id more than once count as one document by their first text in byte order.
+A group of n copies thus costs comparisons in proportion to n, not n * n.  After the first round, a bucket that still spans more than ``HOT``
+components holds a crowd of unlike texts (a passage that they share fills a band).  Its documents move to finer buckets, one for each of
+their rarest shingles (:func:`_prefixes`), which lose no pair, and rounds go on with those.
+
+Null and empty texts stand alone.  Rows with a null doc_id are returned with a null class and kept by :func:`keep_one`.  Rows with one doc_id
+more than once are one document, by the text whose set has the least digest; each of them is returned, with its own n_shingles.
+Other columns are not carried by :func:`classes`; :func:`keep_one` carries columns of any name.
 """
 
 from __future__ import annotations
@@ -30,13 +35,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import components, cut, release, table
+from ._common import components, cut, discard, quoted, release, table, unused
 
 SEED = 0x5EED
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 #: Elements whose ranks advance together.
 BATCH = 1 << 17
 WORDS = 400_000
+#: Components of one bucket beyond which its documents are looked up by their rarest shingles instead.
+HOT = 200
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -121,13 +128,18 @@ def _binary(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def _digest(shingles: bytes) -> bytes | None:
+    """What names a set; none for the empty one."""
+    return hashlib.blake2b(shingles, digest_size=16).digest() if shingles else None
+
+
 def _describe(batches: Iterator[pa.RecordBatch], width: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n_shingles", "set_id", "bands"]
     for whole in batches:
         for at in range(0, whole.num_rows, 512):
             batch = whole.slice(at, 512)
             sets = [shingles(t, width) for t in _binary(batch.column(1))]
-            ids = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+            ids = [_digest(s.tobytes()) for s in sets]
             some = [i for i, s in enumerate(sets) if len(s)]
             sig = signatures([sets[i] for i in some], bands * rows).reshape(len(some), bands, rows)
             keys = np.full((len(some), bands), 7, np.uint64)
@@ -144,7 +156,8 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
     for whole in batches:
         for at in range(0, whole.num_rows, 512):
             batch = whole.slice(at, 512)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, width).tobytes() for t in _binary(batch.column(1))], pa.binary())], names=["id", "shingles"])
+            sets = [shingles(t, width).tobytes() for t in _binary(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], names=["id", "set_id", "shingles"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -167,48 +180,87 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(lambda it: _confirm(it, percent), "a long, b long, linked boolean").where("linked").select("a", "b")
 
 
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(bucket, rep): each document of ``sets`` (id, shingles) under the rarest of its shingles, as many as any set that it
+    is linked with must share one of: two sets with 100 * intersection >= percent * union that are sorted in one order
+    share a shingle among the first n - ceil(n * percent / 100) + 1 of each.  Shingles of many documents come last in the order,
+    so what a crowd has in common makes no bucket.  Shingles of a single document make none either."""
+    each = sets.mapInArrow(_explode, "rep long, shingle long")
+    counts = each.groupBy("shingle").agg(F.count("*").alias("n"))
+    order = F.sort_array(F.collect_list(F.struct("n", F.xxhash64("shingle").alias("h"), "shingle")))  # of one document
+    ranked = each.join(counts, "shingle").groupBy("rep").agg(order.alias("s"))
+    size = F.size("s")
+    first = F.slice("s", F.lit(1), (size - F.floor((size * percent + 99) / 100) + 1).cast("int"))
+    rare = ranked.select("rep", F.explode(first).alias("x")).where("x.n > 1")
+    return rare.select(F.xxhash64(F.lit("shingle"), "x.shingle").alias("bucket"), "rep")
+
+
+def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, 64):
+            part = batch.slice(i, 64)
+            sets = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(1)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), [len(x) for x in sets])), pa.array(np.concatenate(sets))], names=["rep", "shingle"])
+
+
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, star_rounds: int = 4) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each doc_id: component_id is the smallest doc_id reachable by links."""
+    """(doc_id, n_shingles, component_id) for each row of docs: component_id is the smallest doc_id reachable by links, null
+    for a null doc_id."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL")
+    docs = docs.select(F.col(quoted(doc_id)).cast("long").alias("doc_id"), F.col(quoted(text)).alias("text"))
     described = table(docs.mapInArrow(lambda it: _describe(it, width, bands, rows), "doc_id long, n_shingles long, set_id binary, bands array<long>"), "signatures")
-    # one text for each doc_id, then one representative for each set
-    sole = described.groupBy("doc_id").agg(F.min(F.struct("set_id", "n_shingles", "bands")).alias("s")).select("doc_id", "s.*")
-    reps = table(sole.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n_shingles"), F.min("bands").alias("bands")), "classes")
+    # one set for each doc_id, then one representative for each set
+    sole = described.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("set_id", "bands")).alias("s")).select("doc_id", "s.*")
+    reps = table(sole.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.min("bands").alias("bands")), "classes")
     hits = reps.select("rep", F.explode("bands").alias("bucket"))
-    shared = hits.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("least")).where("n > 1").select("bucket", "least")
+    shared = hits.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     members = table(hits.join(shared, "bucket").select("bucket", "rep"), "buckets")
     release(spark)
     candidates = members.select(F.col("rep").alias("doc_id")).distinct()
     texts = docs.join(candidates, "doc_id", "left_semi")
-    sets = table(texts.mapInArrow(lambda it: _sets(it, width), "id long, shingles binary").groupBy("id").agg(F.min("shingles").alias("shingles")), "sets")
+    sets = texts.mapInArrow(lambda it: _sets(it, width), "id long, set_id binary, shingles binary")
+    sets = table(sets.groupBy("id").agg(F.min(F.struct("set_id", "shingles")).alias("s")).select("id", "s.shingles"), "sets")
     release(spark)
 
     group = members.select(F.col("rep").alias("id")).distinct().withColumn("component_id", F.col("id"))
     edges = tried = None
+    scratch = [members]
     r = 0
     while True:
         placed = members.join(group.withColumnRenamed("id", "rep"), "rep")
+        mixed = placed.groupBy("bucket").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi"), F.count_distinct("component_id").alias("n")).where("lo <> hi").select("bucket", "n") if r == 1 else placed.groupBy("bucket").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).where("lo <> hi").select("bucket")
+        if r == 1:
+            mixed = table(mixed, "mixed")
+            scratch.append(mixed)
+            hot = mixed.where(F.col("n") > HOT).select("bucket")
+            if hot.limit(1).count():
+                crowd = members.join(hot, "bucket", "left_semi").select(F.col("rep").alias("id")).distinct()
+                finer = _prefixes(sets.join(crowd, "id", "left_semi"), percent)
+                members = table(members.join(hot, "bucket", "left_anti").unionByName(finer), "buckets")
+                scratch.append(members)
+                placed = members.join(group.withColumnRenamed("id", "rep"), "rep")
+                mixed = placed.groupBy("bucket").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).where("lo <> hi").select("bucket")
         # a centre for each component of a bucket: by the smallest id first, then by a hash that changes
-        rank = F.struct(F.lit(0), F.col("rep")) if r == 0 else F.struct(F.xxhash64("rep", F.lit(r)), F.col("rep"))
         if r == 0:
             centres = members.groupBy("bucket").agg(F.min("rep").alias("c")).withColumn("centre_component", F.col("c"))
         elif r < star_rounds:
+            rank = F.struct(F.xxhash64("rep", F.lit(r)), F.col("rep"))
             centres = placed.groupBy("bucket", "component_id").agg(F.min(rank).alias("k")).select("bucket", F.col("component_id").alias("centre_component"), F.col("k.rep").alias("c"))
         else:
             centres = placed.select("bucket", F.col("component_id").alias("centre_component"), F.col("rep").alias("c"))
-        mixed = placed.groupBy("bucket").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).where("lo <> hi").select("bucket")
         pairs = placed.join(mixed, "bucket", "left_semi").join(centres, "bucket").where("component_id <> centre_component")
         pairs = pairs.select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = table(pairs, "pairs")
+        scratch.append(pairs)
         if not pairs.limit(1).count():
             if r >= star_rounds:
                 break
-            r = star_rounds  # nothing is left to try with these centres: on to all remaining pairs
+            r = max(1, star_rounds) if r else 1  # nothing is left to try with these centres: on to all remaining pairs
             continue
         found = table(_verify(pairs, sets, percent), "links")
+        scratch.append(found)
         tried = pairs if tried is None else tried.unionByName(pairs)
         if found.limit(1).count():
             edges = found if edges is None else edges.unionByName(found)
@@ -218,12 +270,15 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
         if r >= star_rounds:
             break
         r += 1
+    group = cut(group)
+    discard(*scratch, sets)
     whole = reps.select("set_id", "rep").join(group.withColumnRenamed("id", "rep"), "rep", "left").select("set_id", F.coalesce("component_id", "rep").alias("component_id"))
-    out = sole.select("doc_id", "n_shingles", "set_id").join(whole, "set_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    known = sole.select("doc_id", "set_id").join(whole, "set_id", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return described.select("doc_id", "n_shingles").join(known, "doc_id", "left")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its group; rows without doc_id stay."""
-    gone = classes(docs, doc_id, text, **how).where("component_id <> doc_id").select(F.col("doc_id").alias(doc_id))
-    return docs.join(cut(gone), doc_id, "left_anti").select(docs.columns)
+    gone = cut(classes(docs, doc_id, text, **how).where("component_id <> doc_id").select("doc_id").distinct())
+    gone = gone.withColumnRenamed("doc_id", unused(docs.columns))
+    return docs.join(gone, F.col(quoted(doc_id)) == F.col(gone.columns[0]), "left_anti")
