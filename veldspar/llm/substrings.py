@@ -10,7 +10,10 @@ further left in the same document.  Windows are judged on the input.
 3. Equal regions collapse to the first of them, before they move; the windows of the others repeat it.
 4. Each shard sorts its suffixes by Larsson-Sadakane refinement: eight bytes first, then doubling, and only groups that are
    not yet sorted take part.  Kasai's algorithm gives the common prefixes of neighbours; runs of at least ``length`` are equal windows.
-5. Regions of one minimizer that exceed a shard are cut into several.  Each has its own suffix array, and windows of one
+5. A minimizer with more than ``HOT`` bytes of different regions (the edge of a passage that very many documents share) is parted:
+   equal windows hold it at one offset, so windows go by classes of offsets, and with each by the bytes that all windows of the class share.
+   Equal regions collapse again.  This loses no repeat, and what is left of the crowd spreads over shards and tasks.
+6. Regions of one minimizer that exceed a shard all the same are cut into several.  Each has its own suffix array, and windows of one
    are looked up in the others by binary search.
 
 Null and empty texts have no windows.  A null doc_id comes before all others.  Rows that repeat (doc_id, text) get equal rows; different texts under
@@ -20,6 +23,7 @@ one doc_id are separate documents in order of their hash.  An empty table gives
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +37,8 @@ from .minhash import mix
 GRAM = 24
 #: Bytes of text in one suffix array, about.
 SHARD = 1_500_000
+#: Bytes of different regions around one minimizer beyond which its windows are parted by what is around it.
+HOT = 3_000_000
 _C = [pow(0x9E3779B97F4A7C15 | 1, 1 << i, 1 << 64) for i in range(5)]
 
 
@@ -319,6 +325,49 @@ def _columns(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)], names=names)
 
 
+def classes_of_windows(n: int, places: np.ndarray, length: int) -> list[tuple[int, int, int, int, int]]:
+    """(first, last, from, to, class) of each run of windows of a region of n bytes that may equal each other only.
+
+    places: where the minimizer occurs in the region.  Equal windows hold it at one offset, counted from its leftmost place in them.
+    Offsets 0, 1, 2-3, 4-7 and so on are a class each; bytes from..to-1 of the region lie in all windows of the class around one
+    place, so equal windows have those in common as well, whatever their class has on its outer sides."""
+    starts = np.arange(n - length + 1)
+    at = places[np.searchsorted(places, starts)]
+    off = at - starts
+    kind = np.zeros(len(starts), np.int64)
+    some = off > 0
+    kind[some] = np.frexp(off[some].astype(np.float64))[1]
+    heads = np.flatnonzero(np.concatenate([[True], (kind[1:] != kind[:-1]) | (at[1:] != at[:-1])]))
+    out = []
+    for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(starts)], strict=True):
+        k, p = int(kind[a]), int(at[a])
+        low, high = (1 << k - 1, min((1 << k) - 1, length - GRAM)) if k else (0, 0)
+        out.append((a, b - 1, p - low, p - high + length, k))
+    return out
+
+
+def _split(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text_id, text, places) to regions of the classes of windows of each place; the anchor is a hash of the minimizer, the
+    class and the bytes that all windows of the class have."""
+    names = ["anchor", "multi", "digest", "doc_id", "text_id", "start", "n_bytes"]
+    for batch in batches:
+        rows = []
+        for doc, text_id, text, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
+            raw = text.as_buffer()
+            for p in places:
+                piece = bytes(raw[p["start"] : p["start"] + p["n_bytes"]])
+                found = np.flatnonzero(gram_hashes(np.frombuffer(piece, np.uint8)) == np.int64(p["anchor"]).astype(np.uint64))
+                for first, last, a, b, kind in classes_of_windows(len(piece), found, length):
+                    key = hashlib.md5(struct.pack("<qB", p["anchor"], kind) + piece[a:b]).digest()
+                    part = piece[first : last + length]
+                    rows.append((int.from_bytes(key[:8], "little", signed=True), False, hashlib.md5(part).digest(), doc, text_id, p["start"] + first, len(part)))
+            if len(rows) > 20_000:
+                yield _columns(rows, names)
+                rows = []
+        if rows:
+            yield _columns(rows, names)
+
+
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text_id, text, places) to (anchor, doc_id, text_id, start, bytes) of each place."""
     names, kinds = ["anchor", "doc_id", "text_id", "start", "bytes"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
@@ -383,6 +432,16 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "text_id", "n_removed", "n_spans", "kept"])
 
 
+def _earliest(regions: DataFrame) -> DataFrame:
+    """The first of equal regions of each anchor."""
+    place = F.struct("doc_id", "text_id", "start")
+    return regions.groupBy("anchor", "digest").agg(F.min(place).alias("at"), F.max("multi").alias("multi"), F.max("n_bytes").alias("n_bytes")).select("anchor", "multi", "n_bytes", "at.*")
+
+
+def _copies(regions: DataFrame, earliest: DataFrame) -> DataFrame:
+    return regions.select("doc_id", "text_id", "start", "n_bytes").join(earliest.select("doc_id", "text_id", "start"), ["doc_id", "text_id", "start"], "left_anti")
+
+
 def remove(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept, whole_sha256) of every row; kept (binary) is null where the text stays
     whole, and whole_sha256 is of the input."""
@@ -404,20 +463,33 @@ def remove(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", text: str
     discard(wanted)
     schema = "anchor long, multi boolean, digest binary, doc_id long, text_id long, start long, n_bytes long"
     regions = table(inputs.mapInArrow(lambda it: _find_regions(it, length), schema), "regions")
-    place = F.struct("doc_id", "text_id", "start")
-    earliest = table(regions.groupBy("anchor", "digest").agg(F.min(place).alias("at"), F.max("multi").alias("multi"), F.max("n_bytes").alias("n_bytes")).select("anchor", "multi", "n_bytes", "at.*"), "earliest")
+    earliest = table(_earliest(regions), "earliest")
     release(docs.sparkSession)
+    # a minimizer of many different regions: its windows part by their offset and the bytes around it
+    hot = earliest.groupBy("anchor").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("size")).where((F.col("size") > HOT) & (F.col("n") > 1)).select("anchor")
+    hot = table(hot, "hot")
+    if hot.limit(1).count():
+        crowd = earliest.join(hot, "anchor", "left_semi").groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("anchor", "start", "n_bytes")).alias("places"))
+        finer = table(inputs.select("doc_id", "text_id", "text").join(crowd, ["doc_id", "text_id"]).mapInArrow(lambda it: _split(it, length), schema), "finer")
+        first = table(_earliest(finer), "earliest")
+        cold = earliest.join(hot, "anchor", "left_anti").unionByName(first)
+        release(docs.sparkSession)
+    else:
+        finer = first = None
+        cold = earliest
     # an anchor with one region that holds it once has no repeat left
-    open_ = earliest.groupBy("anchor").agg(F.count("*").alias("n"), F.max("multi").alias("m")).where("n > 1 OR m").select("anchor")
-    places = earliest.join(open_, "anchor", "left_semi").groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("anchor", "start", "n_bytes")).alias("places"))
+    open_ = cold.groupBy("anchor").agg(F.count("*").alias("n"), F.max("multi").alias("m")).where("n > 1 OR m").select("anchor")
+    places = cold.join(open_, "anchor", "left_semi").groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("anchor", "start", "n_bytes")).alias("places"))
     shards = inputs.select("doc_id", "text_id", "text").join(places, ["doc_id", "text_id"]).mapInArrow(_slices, "anchor long, doc_id long, text_id long, start long, bytes binary")
     found = shards.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "text_id", "start").mapInArrow(lambda it: _search(it, length), "doc_id long, text_id long, start long, end long")
     found = table(found, "found")
     release(docs.sparkSession)
-    copies = regions.select("doc_id", "text_id", "start", "n_bytes").join(earliest.select("doc_id", "text_id", "start"), ["doc_id", "text_id", "start"], "left_anti")
+    copies = _copies(regions, earliest)
+    if finer is not None:
+        copies = copies.unionByName(_copies(finer, first))
     spans = copies.select("doc_id", "text_id", "start", (F.col("start") + F.col("n_bytes")).alias("end")).unionByName(found)
     spans = table(spans.groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
-    discard(regions, earliest, found)
+    discard(regions, earliest, hot, found, *([] if finer is None else [finer, first]))
     cut = inputs.select("doc_id", "text_id", "text").join(spans, ["doc_id", "text_id"]).mapInArrow(_cut, "doc_id long, text_id long, n_removed long, n_spans long, kept binary")
     rows = base.join(least, "digest").join(cut, ["doc_id", "text_id"], "left")
     copy = (F.col("doc_id") > F.col("first_id")) & (F.col("n_bytes") >= length)
