@@ -6,10 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html, minhash, mixing, pii, quality, substrings, tokenfile, vectors
+from . import bpe, chat, html, minhash, mixing, oracles, pii, quality, substrings, tokenfile, vectors
 
 QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(oracles.ORACLES)
 
 
 def _query(f):
