@@ -4,18 +4,20 @@ Vectors of one label are compared by cosine in double precision.  Null labels, a
 null or non-finite components, link with nothing.
 
 1. Equal vectors of a label (up to a positive factor, bit by bit after normalising) are one class, so exact copies are never compared.
-2. Start: ``trees`` random hyperplane hashes put the vectors of a label into leaves; large leaves are cut into chunks of about ``LEAF`` by a
-   hash.  The ``k`` nearest vectors within the leaves make the first graph.
+2. Start: random hyperplane hashes put the vectors of a label into leaves, with as many planes as its size needs; large leaves are cut into chunks of about ``LEAF`` by a
+   hash.  The ``k`` nearest vectors within the leaves make the first graph.  Labels of at most ``BLOCK`` vectors are one leaf, so
+   all their pairs are compared.  There are so many hashes (``trees`` at least) that two vectors at the threshold without any other neighbour
+   share a leaf of the largest label with probability ``MEET``.
 3. Refinement: around each vector, its neighbours and the vectors that have it as a neighbour are compared with each other
    where one of them is new to the graph.  Hubs are cut into chunks of bounded size.  Lists keep the k nearest; rounds end when few lists change.
 4. Saturation: a list whose k-th neighbour still reaches the threshold may hide links, but only to a vector whose list is full too.  Links found so
    far connect vectors into groups; the vectors of all groups with a full list are put into blocks by group and compared in pairs of blocks of a label, across
-   groups as well, which return counts of links and one forest of links and not the links.  Pairs of blocks that lie too far apart are left out: each block has a
+   groups as well, which return counts of links and one forest of links and not the links.  Blocks hold vectors of one side of several hyperplanes, and pairs of blocks that lie too far apart are left out: each block has a
    centre and an angle that holds its vectors.  Links between groups join them.
-5. Audit: a bounded sample of vectors is compared with all vectors of their labels, and the true number of links with the number found.  With recall
-   below ``recall``, k is doubled and the search goes on; if it is still below at ``max_k``, all vectors of a label are compared in blocks.
+5. Audit: bounded samples of vectors, one for each class of label sizes (by powers of 16; labels of at most BLOCK need none), are compared with all vectors of their labels, and the true
+   number of links with the number found.  With recall of any class below ``recall``, k is doubled and the search goes on; if it is still below at ``max_k``, all vectors of a label are compared in blocks.
 
-Rows with a null vec_id are left out; of rows with one vec_id, the first by label and components counts.  Empty tables give no rows.
+Rows with a null vec_id link with nothing; of rows with one vec_id, the first by label and components counts, for all of them.  Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -24,15 +26,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import components, cut, release, table
+from ._common import components, cut, quoted, release, table
 
 LEAF, HUB, BLOCK = 48, 64, 512
 #: Blocks whose centres are compared at once.
 CENTRES = 1024
-AUDIT = 256
+#: Vectors of each sample.
+AUDIT = 512
+MEET = 0.995
 SEED = 20_240_501
 
 
@@ -56,10 +60,11 @@ def _normal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _leaves(batches: Iterator[pa.RecordBatch], trees: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """Rows (..., unit, bits): the leaf of each of ``trees`` hashes of at most ``bits`` planes each; the first alone for no bits."""
     planes: dict[int, np.ndarray] = {}
     powers = 1 << np.arange(bits, dtype=np.int64) if bits else np.zeros(0, np.int64)
     for batch in batches:
-        units = batch.column(2).to_pylist()
+        units, own = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
         keys = np.zeros((len(units), trees), np.int64)
         by_size: dict[int, list[int]] = {}
         for i, u in enumerate(units):
@@ -69,8 +74,14 @@ def _leaves(batches: Iterator[pa.RecordBatch], trees: int, bits: int) -> Iterato
                 planes[d] = np.random.default_rng(SEED + d).standard_normal((d, trees * bits))
             x = np.frombuffer(b"".join(units[i] for i in rows), np.float64).reshape(len(rows), d)
             keys[rows] = ((x @ planes[d]).reshape(len(rows), trees, bits) > 0) @ powers
-        keys = keys * trees + np.arange(trees)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(keys), pa.list_(pa.int64()))], names=["id", "label", "unit", "leaves"])
+        keys = (keys & ((np.int64(1) << own.astype(np.int64)) - 1)[:, None]) * trees + np.arange(trees)
+        leaves = [k if n else k[:1] for k, n in zip(keys, own.tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(leaves, pa.list_(pa.int64()))], names=[*batch.schema.names[:-1], "leaves"])
+
+
+def _bits(n: Column, size: int) -> Column:
+    """Planes that cut n vectors into leaves of about size / 2; none for at most BLOCK."""
+    return F.when(n <= BLOCK, 0).otherwise(F.least(F.lit(40), F.ceil(F.log2(n / size)) + 1)).cast("int")
 
 
 _OUT = ["u", "v", "sim"]
@@ -196,9 +207,13 @@ def _dense(members: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """All links among members (group, id, n, label, unit) of a label: (id, links), and edges (a, b) that connect what they connect."""
     spark = members.sparkSession
     members = members.withColumn("dim", F.octet_length("unit"))
-    size = members.groupBy("label", "dim", "group").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    size = members.groupBy("label", "dim", "group").agg(_bits(F.count("*"), BLOCK).alias("bits"))
+    most = size.agg(F.max("bits")).first()[0] or 0
+    shape = "label long, dim int, group long, id long, n long, unit binary, leaves array<long>"
+    leafed = members.join(size, ["label", "dim", "group"]).select("label", "dim", F.col("group").cast("long").alias("group"), "id", "n", "unit", "bits").mapInArrow(lambda it: _leaves(it, 1, most), shape).withColumn("leaf", F.col("leaves")[0])
+    of_leaf = leafed.groupBy("label", "dim", "group", "leaf").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     blocked = table(
-        members.join(size, ["label", "dim", "group"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).groupBy("label", "dim", "group", "block")
+        leafed.join(of_leaf, ["label", "dim", "group", "leaf"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).groupBy("label", "dim", "group", "leaf", "block")
         .agg(F.sort_array(F.collect_list(F.struct("id", "n", "unit"))).alias("items")), "blocks",  # about BLOCK
     )
     parts = blocked.select(F.col("items")[0]["id"].alias("key"), "label", "dim", F.transform("items", lambda i: F.struct(i.id.alias("id"), i.n.alias("n"))).alias("ids"), F.transform("items", lambda i: i.unit).alias("units"))
@@ -216,16 +231,19 @@ def _dense(members: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     return found.where("links IS NOT NULL").groupBy("id").agg(F.sum("links").alias("links")), found.where("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b"))
 
 
-def search(units: DataFrame, k: int, trees: int, rounds: int, settle: float, graph: DataFrame | None = None) -> DataFrame:
+def search(units: DataFrame, k: int, trees: int, rounds: int, settle: float, graph: DataFrame | None = None, threshold: float = 0.98) -> DataFrame:
     """(u, v, sim, new): k-nearest-neighbour lists of units (id, label, unit) by NN-descent, from ``graph`` or from leaves."""
     n = units.count()
     if graph is None:
-        largest = units.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-        bits = max(0, min(40, int(np.ceil(np.log2(max(1, largest) / LEAF))) + 1))
-        hashed = units.mapInArrow(lambda it: _leaves(it, trees, bits), "id long, label long, unit binary, leaves array<long>").select("id", "label", "unit", F.explode("leaves").alias("leaf"))
-        sizes = hashed.groupBy("label", "leaf").agg(F.count("*").alias("n")).where("n > 1")
-        placed = hashed.join(sizes, ["label", "leaf"]).withColumn("chunk", F.pmod(F.xxhash64("id", "leaf"), F.ceil(F.col("n") / LEAF)))
-        lists = placed.groupBy("label", "leaf", "chunk").agg(F.collect_list(F.struct("id", "unit")).alias("items"))  # about LEAF
+        sizes = units.groupBy("label").agg(_bits(F.count("*"), LEAF).alias("bits"))
+        bits = sizes.agg(F.max("bits")).first()[0] or 0
+        side = (1 - np.arccos(np.clip(threshold, -1, 1)) / np.pi) ** bits  # both on one side of all planes of a hash
+        trees = max(trees, int(np.ceil(np.log(1 - MEET) / np.log1p(-side)))) if side < 1 else trees
+        hashed = units.join(sizes, "label").select("id", "label", "unit", "bits").mapInArrow(lambda it: _leaves(it, trees, bits), "id long, label long, unit binary, leaves array<long>").select("id", "label", "unit", F.explode("leaves").alias("leaf"))
+        counts = hashed.groupBy("label", "leaf").agg(F.count("*").alias("n")).where("n > 1")
+        whole = sizes.where("bits = 0").select("label", F.lit(True).alias("whole"))
+        placed = hashed.join(counts, ["label", "leaf"]).join(whole, "label", "left").withColumn("chunk", F.when(F.col("whole"), 0).otherwise(F.pmod(F.xxhash64("id", "leaf"), F.ceil(F.col("n") / LEAF))))
+        lists = placed.groupBy("label", "leaf", "chunk").agg(F.collect_list(F.struct("id", "unit")).alias("items"))  # about LEAF, or BLOCK at most
         graph = cut(_top(lists.select("items").mapInArrow(lambda it: _local(it, k, False), "u long, v long, sim double").withColumn("new", F.lit(True)), k))
     for _ in range(rounds):
         around = graph.select(F.col("u").alias("c"), F.col("v").alias("m"), "new").unionByName(graph.select(F.col("v").alias("c"), F.col("u").alias("m"), "new"))
@@ -244,11 +262,17 @@ def search(units: DataFrame, k: int, trees: int, rounds: int, settle: float, gra
     return graph
 
 
-def audit(units: DataFrame, counts: DataFrame, threshold: float) -> float:
-    """Share of the links of at most AUDIT vectors of units (id, label, n, unit), chosen by hash, that counts (id, links) hold."""
-    picked = units.orderBy(F.xxhash64("id", F.lit(SEED))).limit(AUDIT).collect()
+def audit(units: DataFrame, counts: DataFrame, threshold: float) -> tuple[float, int]:
+    """The least share, of all classes of label sizes, of the links of at most AUDIT vectors of units (id, label, n, unit), chosen by hash,
+    that counts (id, links) hold; and how many links those vectors have."""
+    kinds = units.groupBy("label").agg(F.count("*").alias("n_label")).where(F.col("n_label") > BLOCK).select("label", F.floor(F.log2("n_label") / 4).cast("int").alias("kind"))
+    picked = []
+    for row in kinds.select("kind").distinct().collect():  # sixteen at most
+        some = units.join(kinds.where(F.col("kind") == row.kind), "label")
+        picked += some.orderBy(F.xxhash64("id", F.lit(SEED))).limit(AUDIT).collect()
     if not picked:
-        return 1.0
+        return 1.0, 0
+    kind_of = {r.id: r.kind for r in picked}
     by: dict[tuple[int, int], list] = {}
     for r in picked:
         by.setdefault((r.label, len(r.unit)), []).append(r)
@@ -270,8 +294,12 @@ def audit(units: DataFrame, counts: DataFrame, threshold: float) -> float:
                     yield pa.RecordBatch.from_arrays([pa.array(q[a[other]], pa.int64()), pa.array(n[other], pa.int64())], names=["id", "n"])
 
     true = units.select("id", "label", "unit", "n").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    row = true.join(counts, "id", "left").agg(F.sum("n"), F.sum(F.least(F.coalesce("links", F.lit(0)), "n"))).first()
-    return (row[1] or 0) / row[0] if row[0] else 1.0
+    have: dict[int, list[int]] = {}
+    for row in true.join(counts, "id", "left").select("id", "n", F.coalesce("links", F.lit(0)).alias("links")).collect():  # of the samples
+        sums = have.setdefault(kind_of[row.id], [0, 0])
+        sums[0] += row.n
+        sums[1] += min(row.links, row.n)
+    return min((found / n for n, found in have.values()), default=1.0), sum(n for n, _ in have.values())
 
 
 def _resolve(reps: DataFrame, graph: DataFrame, threshold: float, k: int) -> tuple[DataFrame, DataFrame]:
@@ -291,26 +319,33 @@ def _resolve(reps: DataFrame, graph: DataFrame, threshold: float, k: int) -> tup
     return cut(counts), group
 
 
-def links(vectors: DataFrame, threshold: float = 0.98, k: int = 12, trees: int = 6, rounds: int = 8, settle: float = 0.001, recall: float = 0.99, max_k: int = 96, vec_id: str = "vec_id", label: str = "label", embedding: str = "embedding") -> DataFrame:
-    """(vec_id, n_links, component_id) for every vec_id."""
-    spark = vectors.sparkSession
-    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).cast("long").alias("label"), F.col(embedding).alias("embedding")).where("vec_id IS NOT NULL")
-    unit = rows.mapInArrow(_normal, "vec_id long, label long, unit binary")
-    sole = table(unit.groupBy("vec_id").agg(F.min(F.struct("label", "unit")).alias("s")).select("vec_id", "s.*"), "units")
+def links(vectors: DataFrame, threshold: float = 0.98, k: int = 12, trees: int = 6, rounds: int = 8, settle: float = 0.001, recall: float = 0.99, max_k: int = 96, vec_id: str = "vec_id", label: str = "label", embedding: str = "embedding", report: dict | None = None) -> DataFrame:
+    """(vec_id, n_links, component_id) for every row.  report: gets the recall that the audit measured, on how many links, and the k in use
+    (None where all vectors of a label were compared)."""
+    rows = vectors.select(F.col(quoted(vec_id)).cast("long").alias("vec_id"), F.col(quoted(label)).cast("long").alias("label"), F.col(quoted(embedding)).alias("embedding"))
+    unit = table(rows.mapInArrow(_normal, "vec_id long, label long, unit binary"), "units")
+    sole = unit.where("vec_id IS NOT NULL").groupBy("vec_id").agg(F.min(F.struct("label", "unit")).alias("s")).select("vec_id", "s.*")
     sole = sole.withColumn("class_key", F.when(F.col("label").isNotNull() & F.col("unit").isNotNull(), F.sha2("unit", 256)))
     reps = table(sole.where("class_key IS NOT NULL").groupBy("label", "class_key").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"), F.min("unit").alias("unit")), "reps")
     units = reps.select("id", "label", "unit")
-    graph = search(units, k, trees, rounds, settle)
+    graph = search(units, k, trees, rounds, settle, threshold=threshold)
     counts, group = _resolve(reps, graph, threshold, k)
-    while audit(reps, counts, threshold) < recall:
+    while True:
+        got, known = audit(reps, counts, threshold)
+        if report is not None:
+            report |= {"recall": got, "links": known, "k": k}
+        if got >= recall:
+            break
         if k >= max_k:
             counts, edges = _dense(reps.withColumn("group", F.lit(0)), threshold)
             group = components(edges)
+            if report is not None:
+                report |= {"recall": 1.0, "k": None}
             break
         k *= 2
         graph = search(units, k, trees, rounds, settle, cut(graph.withColumn("new", F.lit(True))))
         counts, group = _resolve(reps, graph, threshold, k)
     per_class = reps.select("label", "class_key", "id", "n").join(counts, "id", "left").join(group, "id", "left")
     per_class = per_class.select("label", "class_key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
-    out = sole.select("vec_id", "label", "class_key").join(per_class, ["label", "class_key"], "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    each = sole.select("vec_id", "label", "class_key").join(per_class, ["label", "class_key"], "left").select("vec_id", "n_links", F.coalesce("component_id", "vec_id").alias("component_id"))
+    return unit.select("vec_id").join(each, "vec_id", "left").select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "component_id")
