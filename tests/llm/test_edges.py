@@ -6,8 +6,8 @@ import math
 import random
 import re
 import zlib
-from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers as P
 import pyarrow.parquet as pq
@@ -194,35 +194,6 @@ def test_op2(spark, documents):
         assert r == {"doc_id": d["doc_id"], "n_tokens": len(ids), "ids_sha256": hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), "decoded_sha256": hashlib.sha256((d["text"] or "").encode()).hexdigest()}
 
 
-def test_op4(spark, documents):
-    for r, d in zip(run(spark, "op4_quality"), documents, strict=True):
-        t = d["text"] or ""
-        w = re.findall(r"[^\x20\x09-\x0D]+", t)
-        c = Counter(zip(w, w[1:], w[2:]))
-        again = len({j + k for j in range(len(w) - 2) if c[tuple(w[j : j + 3])] > 1 for k in range(3)})
-        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
-        want = {"doc_id": d["doc_id"], "n_words": len(w), "word_chars": sum(map(len, w)), "n_symbols": len(re.findall(r"[#*$%&|<>]", t)), "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": again, "base_failed": len(w) < 50 or 100 * again > 50 * len(w)}
-        assert {k: r[k] for k in want} == want and not (r["kept"] and r["base_failed"])
-
-
-def test_op5(spark, documents):
-    sets = {d["doc_id"]: set(minhash.shingles((d["text"] or "").encode(), 2).tolist()) for d in documents}
-    want = groups(linked(sets), sets)
-    assert run(spark, "op5_minhash") == [{"doc_id": i, "n_shingles": len(sets[i]), "component_id": want[i], "kept": want[i] == i} for i in want]
-
-
-def test_op7(spark):
-    rows = pq.read_table(f"{SF}/embeddings.parquet").to_pylist()
-    x = np.array([r["embedding"] for r in rows], np.float64)
-    x /= np.linalg.norm(x, axis=1)[:, None]
-    label = np.array([r["label"] for r in rows])
-    hit = (x @ x.T >= 0.98) & (label[:, None] == label[None, :])
-    np.fill_diagonal(hit, False)
-    ids = [r["vec_id"] for r in rows]
-    want = groups([(ids[a], ids[b]) for a, b in np.argwhere(hit)], ids)
-    assert run(spark, "op7_vectors") == sorted(({"vec_id": i, "n_links": int(hit[k].sum()), "component_id": want[i], "kept": want[i] == i} for k, i in enumerate(ids)), key=lambda r: r["vec_id"])
-
-
 def test_op9(spark, documents):
     from tokenizers import Tokenizer
 
@@ -233,12 +204,6 @@ def test_op9(spark, documents):
         start += len(ids) // 4
 
 
-def test_op10(spark, documents):
-    want = removed([(d["doc_id"], d["text"]) for d in documents], 100)
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in run(spark, "op10_substrings")}
-    assert got == want and any(w[1] for w in want.values())
-
-
 def test_op6_op8(spark, documents):
     new = {r["doc_id"]: r for r in run(spark, "op6_pii")}
     for d in documents:
@@ -250,3 +215,14 @@ def test_op6_op8(spark, documents):
     got = run(spark, "op8_chat")
     want = sorted((c["conv_id"], c["turn"], json.dumps({"content": c["text"], "role": c["role"]}, ensure_ascii=False, sort_keys=True, separators=(",", ":"))) for c in talk)
     assert sorted((r["conv_id"], r["turn"], r["json"]) for r in got) == want and {r["status"] for r in got} == {"plain"}
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_against_sql(spark, name):
+    c = duckdb.connect()
+    for t in ("documents", "embeddings", "labels", "conversations"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    df = queries.QUERIES[name](spark, SF)
+    columns = sorted(df.columns)
+    want = c.execute(f"SELECT {', '.join(columns)} FROM ({queries.ORACLES[name]})").fetchall()
+    assert sorted(map(tuple, df.select(*columns).collect()), key=repr) == sorted(want, key=repr)
