@@ -3,28 +3,33 @@
 One pattern finds emails, cards, phones, social security numbers, IBANs, IP addresses, secrets and titled names.  Each
 entity gets a keyed surrogate of its own type and format:
 
-* digits (cards, phones, social security numbers, IBANs) go through a keyed Feistel permutation of the digits, so distinct
-  numbers of one format stay distinct by construction; punctuation, country codes, a card's first digit and whether its
-  Luhn digit is right are kept.  IPv4 addresses are permuted as 32-bit numbers.
-* emails, secrets, IPv6 addresses and names are keyed hashes written in the entity's format: case, length and character
-  kinds for secrets; script (Latin, Cyrillic, Greek) and gender by title for names.
-* an entity is normalised first (case of emails, format of numbers, blanks of names), so one person's number written in two
+* Digits (cards, phones, social security numbers), IBANs, IPv4 addresses, secrets and surnames go through :func:`_turned`, a keyed permutation of the
+  strings of one format, so distinct ones stay distinct and none stays itself, by construction and whatever their number.  A character
+  keeps its kind: digits, small and capital letters, hexadecimal digits of long digests, vowels and consonants of a script.  Punctuation, country codes, a card's first digit and
+  whether its Luhn digit is right are kept.
+* First names follow script (Latin, Cyrillic, Greek) and gender by title: a listed one becomes another of its list, any other a listed one with the permuted name after it.
+  No listed name begins with another one, so these stay distinct too.
+* Emails and IPv6 addresses are keyed hashes of 100 bits or so.
+* An entity is normalised first (case of emails, format of numbers, blanks of names), so one person's number written in two
   ways keeps one surrogate number, and "Mr A B" and "Mr B" share the surname: coreference survives.
 
 :func:`surrogates` checks the corpus: no two normalised entities of a type may share a surrogate, and none may be its own.
-On a failure all hashes are drawn again with another salt.  Only one count reaches the driver.
+Were hashes to clash, which no size of corpus makes likely, all would be drawn again with another salt.  Only one count reaches the driver.
 
-Texts without entities come back unchanged, null and empty ones too.  Repeated rows are replaced alike.  Other columns pass
-through; output columns that clash with them raise ValueError.
+Texts without entities come back unchanged, null and empty ones too.  Repeated rows are replaced alike.  Other columns of any name pass
+through; only a column that is named for the types of entities must be new, else ValueError.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import quoted, unused
+
 KEY = "veldspar-surrogates"
 MAX_SALTS = 20
 
@@ -57,7 +62,7 @@ _IBAN = (
 #: What stands before a secret and stays; no look-behind of many lengths, which would be tried at every place of a text.
 _LABEL = r"(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Kk]ey|KEY|[Pp]assword|PASSWORD|[Pp]asswd|[Pp]wd)[\"']? {0,2}[:=] {0,2}[\"']?|=[\"']?(?=[A-Za-z+/_\-]{0,20}\d[A-Za-z0-9+/_\-]{15})|(?:AKIA|ASIA|sk-|gh[pousr]_|xox[abp]-|AIza)"
 _SECRET = (
-    r"(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Kk]ey|KEY|[Pp]assword|PASSWORD|[Pp]asswd|[Pp]wd)[\"']? {0,2}[:=] {0,2}[\"']?[A-Za-z0-9+/_.\-]{8,}+"
+    r"(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Kk]ey|KEY|[Pp]assword|PASSWORD|[Pp]asswd|[Pp]wd)[\"']? {0,2}[:=] {0,2}[\"']?(?=[+/_.\-]*+[A-Za-z0-9])[A-Za-z0-9+/_.\-]{8,}+"
     r"|(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:sk-|gh[pousr]_|xox[abp]-|AIza)[A-Za-z0-9_\-]{16,}+|(?<![A-Za-z0-9])[0-9a-f]{32,}+(?![A-Za-z0-9])"
     r"|=[\"']?(?=[A-Za-z+/_\-]{0,20}\d)[A-Za-z0-9+/_\-]{16,}+"
 )
@@ -69,14 +74,9 @@ _HINT, _TITLES = "[0-9@=:]", r"(?:Mr|Ms|Miss|Mme|Mlle|Herr|Frau|Sr|Señor|Г-|Κ
 #: What stays of a phone: the country code or the 0 of a national number.
 _PREFIX = r"^(?:\+\d{1,3}(?=\D)|\(?0)"
 
-_SYLLABLES = {
-    "latin": "ba be bi bo da de di do fa fe ga go ka ke ki ko la le li lo ma me mi mo na ne ni no ra re ri ro".split(),
-    "cyrillic": "ба бе би бо да де ди до ва ве га го ка ке ки ко ла ле ли ло ма ме ми мо на не ни но ра ре ри ро".split(),
-    "greek": "βα βε βι βο δα δε δι δο φα φε γα γο κα κε κι κο λα λε λι λο μα με μι μο να νε νι νο ρα ρε ρι ρο".split(),
-}
 _FIRST = {
     ("latin", "f"): "Anna Clara Elena Emma Ines Julia Laura Lea Lena Maria Marta Nina Nora Paula Rosa Sara".split(),
-    ("latin", "m"): "Adam Bruno David Emil Felix Hugo Ivan Jonas Karl Leo Lukas Marco Oscar Paul Simon Tomas".split(),
+    ("latin", "m"): "Adam Bruno David Emil Felix Hugo Ivan Jonas Karl Leo Lukas Marco Oscar Peter Simon Tomas".split(),
     ("cyrillic", "f"): "Анна Вера Дарья Елена Зоя Инна Ирина Лидия Майя Мария Нина Нонна Ольга Раиса Софья Яна".split(),
     ("cyrillic", "m"): "Антон Борис Вадим Глеб Денис Егор Иван Илья Кирилл Лев Марк Олег Павел Роман Семён Юрий".split(),
     ("greek", "f"): "Άννα Δάφνη Ειρήνη Ελένη Εύα Ζωή Ηρώ Θάλεια Ιωάννα Κλειώ Λένα Μαρία Νίκη Ξένια Ρέα Σοφία".split(),
@@ -88,8 +88,8 @@ def _hash(key: Column, *parts: Column) -> Column:
     return F.sha2(F.concat_ws("\x1f", key, *parts), 256)
 
 
-def _number(hexadecimal: Column, start: int, digits: int) -> Column:
-    return F.conv(F.substring(hexadecimal, start, digits), 16, 10).cast("long")
+def _number(hexadecimal: Column, start: int | Column, digits: int) -> Column:
+    return F.conv(F.substring(hexadecimal, start, F.lit(digits) if isinstance(start, Column) else digits), 16, 10).cast("long")
 
 
 def _cat(e: Column) -> Column:
@@ -123,18 +123,59 @@ def _search(text: Column) -> Column:
     return F.when(text.rlike(_HINT) | text.rlike(_TITLES), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
-def _feistel(key: Column, digits: Column, kind: Column) -> Column:
-    """A keyed permutation of the strings of as many digits (two or more)."""
-    n = F.length(digits)
-    left = F.floor(n / 2).cast("int")
-    ten = lambda k: F.pow(F.lit(10.0), k).cast("long")
-    start = F.struct(F.substring(digits, F.lit(1), left).cast("long").alias("a"), F.substring(digits, left + 1, n - left).cast("long").alias("b"))
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value taken once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+#: An even number, so that the halves of a list end where they began.
+ROUNDS = 4
+
+
+def _turned(key: Column, tweak: Column, values: Column, sizes: Column) -> Column:
+    """A keyed permutation without fixed points of the lists of integers below ``sizes``: rounds of a Feistel network over both
+    halves of the list, then one more at the first place that can change, then the rounds backwards."""
+
+    def halves(v: Column, s: Column) -> Column:
+        return _let(F.floor(F.size(v) / 2).cast("int"), lambda h: F.struct(F.slice(v, F.lit(1), h).alias("a"), F.slice(v, h + 1, F.size(v) - h).alias("b"), F.slice(s, F.lit(1), h).alias("m"), F.slice(s, h + 1, F.size(s) - h).alias("n")))
+
+    def moved(v: Column, sizes: Column, other: Column, r: Column, sign: int) -> Column:
+        seed = F.sha2(F.concat_ws("\x1f", key, tweak, F.size(v).cast("string"), r.cast("string"), F.array_join(F.transform(other, lambda x: x.cast("string")), ",")), 256)
+        last = F.greatest(F.lit(0), F.floor((F.size(v) - 1) / 32).cast("int"))
+        blocks = _let(seed, lambda d: F.transform(F.sequence(F.lit(0), last), lambda i: F.sha2(F.concat_ws("\x1f", d, i.cast("string")), 256)))
+        byte = lambda bs, j: _number(F.get(bs, F.shiftright(j, 5)), 2 * (j % 32) + 1, 2).cast("int")
+        return _let(blocks, lambda bs: F.transform(v, lambda x, j: F.pmod(x + sign * byte(bs, j), F.get(sizes, j))))
+
+    def on(acc: Column, r: Column) -> Column:
+        return F.struct(moved(acc.b, acc.n, acc.a, r, 1).alias("a"), acc.a.alias("b"), acc.n.alias("m"), acc.m.alias("n"))
+
+    def back(acc: Column, r: Column) -> Column:
+        return F.struct(acc.b.alias("a"), moved(acc.a, acc.m, acc.b, r, -1).alias("b"), acc.n.alias("m"), acc.m.alias("n"))
 
-    def turn(acc: Column, r: Column) -> Column:
-        f = lambda x: _number(_hash(key, kind, n.cast("string"), r.cast("string"), x.cast("string")), 1, 15)
-        return F.when(r % 2 == 0, F.struct(((acc.a + f(acc.b)) % ten(left)).alias("a"), acc.b.alias("b"))).otherwise(F.struct(acc.a.alias("a"), ((acc.b + f(acc.a)) % ten(n - left)).alias("b")))
+    def more(acc: Column) -> Column:
+        v, s = F.concat(acc.a, acc.b), F.concat(acc.m, acc.n)
+        first = F.array_position(F.transform(s, lambda x: x > 1), F.lit(True)).cast("int") - 1
+        return _let(first, lambda k: halves(F.transform(v, lambda x, j: F.when(j == k, (x + 1) % F.get(s, j)).otherwise(x)), s))
 
-    return F.aggregate(F.array(*[F.lit(i) for i in range(6)]), start, turn, lambda acc: F.concat(F.lpad(acc.a.cast("string"), left, "0"), F.lpad(acc.b.cast("string"), n - left, "0")))
+    there = F.aggregate(F.array(*[F.lit(i) for i in range(ROUNDS)]), halves(values, sizes), on, more)
+    return F.aggregate(F.array(*[F.lit(i) for i in reversed(range(ROUNDS))]), there, back, lambda acc: F.concat(acc.a, acc.b))
+
+
+def _permuted(key: Column, tweak: Column, text: Column, kinds: Column) -> Column:
+    """text with its characters of ``kinds`` (an array of alphabets that share no character) moved within their kind by :func:`_turned`."""
+    described = lambda c: F.struct(c.alias("c"), F.get(F.filter(kinds, lambda k: F.position(c, k) > 0), F.lit(0)).alias("k"))
+    chars = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), described)
+    place = lambda x: F.coalesce(F.position(x.c, x.k).cast("int") - 1, F.lit(0))
+    shown = lambda x, v: F.coalesce(F.substring(x.k, v + 1, F.lit(1)), x.c)
+    return _let(chars, lambda xs: F.array_join(F.zip_with(xs, _turned(key, tweak, F.transform(xs, place), F.transform(xs, lambda x: F.coalesce(F.length(x.k), F.lit(1)))), shown), ""))
+
+
+DIGITS, SMALL, CAPITALS, HEXADECIMAL = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
+#: Vowels and consonants, plain and with marks, of each script.
+LETTERS = ("aeiouy", "bcdfghjklmnpqrstvwxz", "áàâäãåéèêëíìîïóòôöõøúùûüý", "çñßšžčćńśźřťďğłşđ", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщъь", "ёіїєґ", "αεηιουω", "βγδζθκλμνξπρστφχψς", "άέήίόύώ")
+
+#: One character for each number below 256.
+OCTETS = "".join(chr(0x4E00 + i) for i in range(256))
 
 
 def _check_digit(payload: Column) -> Column:
@@ -145,12 +186,12 @@ def _check_digit(payload: Column) -> Column:
     return F.pmod(10 - total % 10, F.lit(10)).cast("int")
 
 
-def _fill(e: Column, digits: Column) -> Column:
-    """e with its digits, from the left, replaced by ``digits``."""
+def _fill(e: Column, digits: Column, kind: str = "[0-9]") -> Column:
+    """e with its characters of a kind, from the left, replaced by ``digits``."""
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("k"))
 
     def step(acc: Column, c: Column) -> Column:
-        return F.when(c.rlike(r"^\d$"), F.struct(F.concat(acc.out, F.substring(digits, acc.k + 1, F.lit(1))).alias("out"), (acc.k + 1).alias("k"))).otherwise(F.struct(F.concat(acc.out, c).alias("out"), acc.k.alias("k")))
+        return F.when(c.rlike(f"^{kind}$"), F.struct(F.concat(acc.out, F.substring(digits, acc.k + 1, F.lit(1))).alias("out"), (acc.k + 1).alias("k"))).otherwise(F.struct(F.concat(acc.out, c).alias("out"), acc.k.alias("k")))
 
     return F.aggregate(F.split(e, ""), start, step, lambda acc: acc.out)
 
@@ -162,18 +203,7 @@ def _letters(hexadecimal: Column) -> Column:
 def _email(key: Column, e: Column) -> Column:
     low = F.lower(e)
     domain = F.regexp_extract(low, r"@(.*)$", 1)
-    return F.concat(F.lit("u"), _letters(F.substring(_hash(key, F.lit("email"), low), 1, 20)), F.lit("@d"), _letters(F.substring(_hash(key, F.lit("domain"), domain), 1, 10)), F.lit(".example.org"))
-
-
-def _ipv4(key: Column, e: Column) -> Column:
-    o = F.transform(F.split(e, r"\."), lambda x: x.cast("long"))
-    start = F.struct((F.get(o, F.lit(0)) * 256 + F.get(o, F.lit(1))).alias("a"), (F.get(o, F.lit(2)) * 256 + F.get(o, F.lit(3))).alias("b"))
-
-    def turn(acc: Column, r: Column) -> Column:
-        f = lambda x: _number(_hash(key, F.lit("ipv4"), r.cast("string"), x.cast("string")), 1, 12)
-        return F.when(r % 2 == 0, F.struct(((acc.a + f(acc.b)) % 65536).alias("a"), acc.b.alias("b"))).otherwise(F.struct(acc.a.alias("a"), ((acc.b + f(acc.a)) % 65536).alias("b")))
-
-    return F.aggregate(F.array(*[F.lit(i) for i in range(6)]), start, turn, lambda c: F.concat_ws(".", F.shiftright(c.a, 8).cast("string"), (c.a % 256).cast("string"), F.shiftright(c.b, 8).cast("string"), (c.b % 256).cast("string")))
+    return F.concat(F.lit("u"), _letters(F.substring(_hash(key, F.lit("email"), low), 1, 26)), F.lit("@d"), _letters(F.substring(_hash(key, F.lit("domain"), domain), 1, 10)), F.lit(".example.org"))
 
 
 def _value(e: Column) -> Column:
@@ -181,25 +211,6 @@ def _value(e: Column) -> Column:
     return F.regexp_replace(e, rf"^(?:{_LABEL})", "")
 
 
-def _secret(key: Column, e: Column) -> Column:
-    """Hash characters of the same kinds in the places of the secret; the label or the prefix of a known key format stays."""
-    value = _value(e)
-    keep = F.length(e) - F.length(value)
-    # no text as long as the secret is read again for each of its characters or blocks
-    digest = F.array(F.sha2(value, 256))
-    blocks = F.flatten(F.transform(digest, lambda d: F.transform(F.sequence(F.lit(0), F.floor(F.length(value) / 64).cast("int")), lambda i: _hash(key, F.lit("secret"), i.cast("string"), d))))
-    stream = F.substring(F.array_join(blocks, ""), F.lit(1), F.length(value))
-
-    def char(c: Column, h: Column) -> Column:
-        return (
-            F.when(c.rlike("^[0-9]$"), F.translate(h, "abcdef", "037158")).when(c.rlike("^[a-z]$"), F.translate(h, "0123456789", "ghijklmnop"))
-            .when(c.rlike("^[A-Z]$"), F.upper(F.translate(h, "0123456789", "ghijklmnop"))).otherwise(c)
-        )
-
-    mixed = F.array_join(F.zip_with(F.split(value, ""), F.split(stream, ""), char), "")
-    return F.concat(F.substring(e, F.lit(1), keep), F.when(value.rlike(r"^[0-9a-f]+$"), stream).otherwise(mixed))
-
-
 def _groups(e: Column) -> Column:
     """An IPv6 address in lower case with all its groups, without leading zeros; the last two may be an IPv4 address."""
     quad = F.split(F.regexp_extract(e, r"\d+\.\d+\.\d+\.\d+$", 0), r"\.")
@@ -216,77 +227,83 @@ def _ipv6(key: Column, e: Column) -> Column:
     return F.concat(F.lit("2001:db8"), *[F.concat(F.lit(":"), F.substring(h, 1 + 4 * i, 4)) for i in range(6)])
 
 
-def _turned(key: str, names: list[str]) -> list[str]:
+def _next(key: str, names: list[str]) -> list[str]:
     """What each name of a list becomes: the next one in a keyed order, so distinct names stay distinct and none stays itself."""
     order = sorted(names, key=lambda x: hashlib.sha256(f"{key}\x1ffirst\x1f{x}".encode()).digest())
     after = dict(zip(order, order[1:] + order[:1], strict=True))
     return [after[x] for x in names]
 
 
-def _name(secret: str, e: Column) -> Column:
-    """The title, then first names by gender and script, then a surname of syllables.
-
-    A listed first name becomes another one of its list, any other a list entry with syllables after it, from a space too large for clashes."""
-    key = F.lit(secret)
+def _named(secret: str, e: Column, words: Column, turned: Column) -> Column:
+    """A titled name: the title, first names by gender and script, and the surname.  words: its words in lower case; turned: the
+    same, permuted, or a hash for letters that no kind has (of a script that isn't known here)."""
     title = F.regexp_extract(e, r"^\S+ ", 0)
-    words = F.split(F.regexp_replace(e, r"^\S+ ", ""), " ")
-    script = F.when(F.element_at(words, -1).rlike(r"^\p{IsCyrillic}"), "cyrillic").when(F.element_at(words, -1).rlike(r"^\p{IsGreek}"), "greek").otherwise("latin")
     woman = title.rlike(r"^(?:Mrs|Ms|Miss|Mme|Mlle|Frau|Sra|Señora|Г-жа|Κα)\b|^(?:Г-жа|Κα)")
+    lists = [(s, g) for s in ("latin", "cyrillic", "greek") for g in "fm"]
+    listed = F.array(*[F.array(*[F.lit(x.lower()) for x in _FIRST[k]]) for k in lists])
+    after = F.array(*[F.array(*[F.lit(x) for x in _next(secret, _FIRST[k])]) for k in lists])
+    stems = F.array(*[F.array(*[F.lit(x) for x in _FIRST[k]]) for k in lists])
 
-    def pick(s: str, w: Column) -> Column:
-        h = _hash(key, F.lit("first"), F.lower(w))
-        listed = lambda names: F.array(*[F.lit(x) for x in names])
-
-        def by(g: str) -> Column:
-            at = F.array_position(listed([x.lower() for x in _FIRST[s, g]]), F.lower(w)).cast("int")
-            stem = F.get(listed(_FIRST[s, g]), (_number(h, 1, 8) % 16).cast("int"))
-            return F.when(at > 0, F.get(listed(_turned(secret, _FIRST[s, g])), at - 1)).otherwise(F.concat(stem, syllables(s, h, 9)))
-
-        return F.when(woman, by("f")).otherwise(by("m"))
+    def first(w: Column, t: Column) -> Column:
+        at = F.when(w.rlike(r"^\p{IsCyrillic}"), 2).when(w.rlike(r"^\p{IsGreek}"), 4).otherwise(0) + F.when(woman, 0).otherwise(1)
+        place = F.array_position(F.get(listed, at), w).cast("int")
+        stem = F.get(F.get(stems, at), (_number(_hash(F.lit(secret), F.lit("first"), w), 1, 8) % 16).cast("int"))
+        return F.when(place > 0, F.get(F.get(after, at), place - 1)).otherwise(F.concat(stem, t))
 
-    def syllables(s: str, h: Column, start: int) -> Column:
-        return F.concat(*[F.get(F.array(*[F.lit(x) for x in _SYLLABLES[s]]), (_number(h, start + 2 * i, 2) % 32).cast("int")) for i in range(10)])
-
-    def surname(s: str, w: Column) -> Column:
-        h = _hash(key, F.lit("surname"), F.lower(w))
-        return F.initcap(syllables(s, h, 1))
-
-    def word(w: Column, i: Column) -> Column:
-        out = None
-        for s in _SYLLABLES:
-            value = F.when(i < F.size(words) - 1, pick(s, w)).otherwise(surname(s, w))
-            out = F.when(script == s, value) if out is None else out.when(script == s, value)
-        return out
-
-    return F.concat(title, F.array_join(F.transform(words, word), " "))
+    both = F.transform(words, lambda w, i: F.when(i == F.size(words) - 1, F.initcap(F.get(turned, i))).otherwise(first(w, F.get(turned, i))))
+    return F.concat(title, F.array_join(both, " "))
 
 
 def surrogate(kind: Column, e: Column, key: str, salt: int) -> Column:
-    k = F.lit(f"{key}#{salt}")
+    secret = f"{key}#{salt}"
+    k = F.lit(secret)
     digits = F.regexp_replace(e, r"\D", "")
     country = F.regexp_extract(e, _PREFIX, 0)
     local = F.substring(e, F.length(country) + 1, F.length(e))
-    payload = F.substring(digits, F.lit(1), F.length(digits) - 1)
-    moved = F.concat(F.substring(digits, 1, 1), _feistel(k, F.substring(payload, F.lit(2), F.length(payload) - 1), F.concat(F.lit("card"), F.substring(digits, 1, 1))))
-    off = F.pmod(F.substring(digits, F.length(digits), F.lit(1)).cast("int") - _check_digit(payload), F.lit(10))
-    card = F.concat(moved, F.pmod(_check_digit(moved) + off, F.lit(10)).cast("string"))
-    return (
-        F.when(kind == "email", _email(k, e)).when(kind == "ipv4", _ipv4(k, e)).when(kind == "ipv6", _ipv6(k, e))
-        .when(kind == "card", _fill(e, card)).when(kind == "phone", F.concat(country, _fill(local, _feistel(k, F.regexp_replace(local, r"\D", ""), F.lit("phone")))))
-        .when(kind == "ssn", _fill(e, _feistel(k, digits, kind))).when(kind == "iban", _fill(e, _feistel(k, digits, F.concat(kind, F.regexp_replace(e, r"[\d ]", "")))))
-        .when(kind == "name", _name(f"{key}#{salt}", e)).otherwise(_secret(k, e))
+    plain = F.regexp_replace(e, " ", "")
+    value = _value(e)
+    # what is permuted, apart from what, and its kinds of characters: one permutation serves all types
+    octets = F.array_join(F.transform(F.split(e, r"\."), lambda o: F.substring(F.lit(OCTETS), o.cast("int") + 1, F.lit(1))), "")
+    parts = (
+        F.when(kind == "card", F.array(F.substring(digits, F.lit(2), F.length(digits) - 2))).when(kind == "phone", F.array(F.regexp_replace(local, r"\D", ""))).when(kind == "ssn", F.array(digits))
+        .when(kind == "iban", F.array(F.substring(plain, F.lit(3), F.length(plain)))).when(kind == "ipv4", F.array(octets))
+        .when(kind == "name", F.split(F.lower(F.regexp_replace(e, r"^\S+ ", "")), " ")).when(kind == "secret", F.array(value)).otherwise(F.array().cast("array<string>"))
     )
+    # that long, no text of other characters becomes hexadecimal by chance
+    digest = (kind == "secret") & value.rlike("^[0-9a-f]{32,}$")
+    tweak = F.concat_ws(" ", kind, F.when(kind == "card", F.substring(digits, 1, 1)).when(kind == "iban", F.substring(plain, 1, 2)).when(digest, "digest"))
+    alphabets = lambda *xs: F.array(*[F.lit(x) for x in xs])
+    kinds = (
+        F.when(kind.isin("card", "phone", "ssn"), alphabets(DIGITS)).when(kind == "iban", alphabets(DIGITS, CAPITALS)).when(kind == "ipv4", alphabets(OCTETS)).when(kind == "name", alphabets(*LETTERS))
+        .when(digest, alphabets(HEXADECIMAL)).otherwise(alphabets(DIGITS, SMALL, CAPITALS))
+    )
+    unknown = lambda x: F.when((kind == "name") & ~x.rlike("[" + "".join(LETTERS) + "]"), _letters(F.substring(_hash(k, F.lit("name"), x), 1, 26)))
+    turned = _let(F.struct(tweak.alias("t"), kinds.alias("k")), lambda s: F.transform(parts, lambda x: F.coalesce(unknown(x), _permuted(k, s.t, x, s.k))))
+
+    def shown(t: Column) -> Column:
+        one = F.get(t, F.lit(0))
+        moved = F.concat(F.substring(digits, 1, 1), one)
+        off = F.pmod(F.substring(digits, F.length(digits), F.lit(1)).cast("int") - _check_digit(F.substring(digits, F.lit(1), F.length(digits) - 1)), F.lit(10))
+        address = F.array_join(F.transform(F.filter(F.split(one, ""), lambda c: c != ""), lambda c: (F.position(c, F.lit(OCTETS)) - 1).cast("string")), ".")
+        return (
+            F.when(kind == "card", _fill(e, F.concat(moved, F.pmod(_check_digit(moved) + off, F.lit(10)).cast("string")))).when(kind == "phone", F.concat(country, _fill(local, one))).when(kind == "ssn", _fill(e, one))
+            .when(kind == "iban", _fill(e, F.concat(F.substring(plain, 1, 2), one), "[0-9A-Z]")).when(kind == "ipv4", address).when(kind == "name", _named(secret, e, parts, t))
+            .otherwise(F.concat(F.substring(e, F.lit(1), F.length(e) - F.length(value)), one))
+        )
+
+    return F.when(kind == "email", _email(k, e)).when(kind == "ipv6", _ipv6(k, e)).otherwise(_let(turned, shown))
 
 
 def entities(docs: DataFrame, text: str = "text") -> DataFrame:
     """(kind, entity) for every entity of every text, in order of the texts."""
-    found = docs.select(F.explode(_search(F.col(text))).alias("entity"))
+    found = docs.select(F.explode(_search(F.col(quoted(text)))).alias("entity"))
     return found.select(_cat(F.col("entity")).alias("kind"), "entity")
 
 
 def surrogates(docs: DataFrame, text: str = "text", key: str = KEY) -> int:
     """The first salt under which distinct entities of docs keep distinct surrogates and none is its own."""
-    seen = entities(docs, text).distinct()
+    # distinct entities are few against the texts, so tasks would be merged by size; their surrogates are the work
+    seen = entities(docs, text).distinct().repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     for salt in range(MAX_SALTS):
         both = seen.select("kind", _normal(F.col("kind"), F.col("entity")).alias("n"), F.col("entity"), surrogate(F.col("kind"), F.col("entity"), key, salt).alias("s"))
         named = both.select("kind", "n", _normal(F.col("kind"), F.col("s")).alias("s"))
@@ -301,16 +318,16 @@ def replace(docs: DataFrame, text: str = "text", key: str = KEY, salt: int | Non
 
     salt: from :func:`surrogates`, which runs over docs where it isn't given.
     """
-    taken = {c.lower() for c in docs.columns}
-    if clash := [n for n in ("_found", "_kinds", *([found] if found else [])) if n.lower() in taken]:
-        raise ValueError(f"columns {', '.join(clash)} are already there")
+    if found and found.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"column {found} is already there")
     if salt is None:
         salt = surrogates(docs, text, key)
-    full = F.col(text)
-    some = docs.withColumn("_found", _search(full))
-    some = some.withColumn("_kinds", F.transform("_found", _cat))
-    new = F.zip_with("_kinds", "_found", lambda k, e: surrogate(k, e, key, salt))
+    at = unused(docs.columns)
+    entities_, types, full = f"{at}_found", f"{at}_kinds", F.col(quoted(text))
+    some = docs.withColumn(entities_, _search(full))
+    some = some.withColumn(types, F.transform(entities_, _cat))
+    new = F.zip_with(types, entities_, lambda k, e: surrogate(k, e, key, salt))
     gaps = F.split(full, PATTERN, -1)
     woven = F.array_join(F.flatten(F.zip_with(gaps, new, lambda g, s: F.array(g, F.coalesce(s, F.lit(""))))), "")
-    out = some.withColumn(text, F.when(F.size("_found") > 0, woven).otherwise(full))
-    return out.select(*[F.col(c) for c in docs.columns], *([F.col("_kinds").alias(found)] if found else []))
+    out = F.when(F.size(entities_) > 0, woven).otherwise(full)
+    return some.select(*[out.alias(c) if c == text else F.col(quoted(c)) for c in docs.columns], *([F.col(types).alias(found)] if found else []))
