@@ -480,7 +480,7 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f for f, _ in found], pa.list_(pa.int32())), pa.array([m for _, m in found], pa.int32())], names=["group", "reference", "fixed", "main"])
 
 
-@functools.lru_cache(maxsize=256)
+@functools.lru_cache(maxsize=1024)
 def _reference(markup: str) -> Node:
     root = parse(markup)
     root.text = markup  # the root is no block and has no text of its own
